@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, packing, quality, tokens, urls, vectors
+from . import html, jaccard, mixing, packing, quality, tokens, urls, vectors
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", "host_bad")
@@ -44,5 +48,5 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_mix_sources, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text)}
 ORACLES: dict[str, str] = {}
