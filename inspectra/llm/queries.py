@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, mixing, packing, quality, tokens, urls, vectors
+from . import html, jaccard, lm, mixing, packing, quality, tokens, urls, vectors
 from .common import table
 
 
@@ -48,5 +48,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm.score_texts(table(spark, sf_dir, "documents"), ranks=ranks, pattern=public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores)}
 ORACLES: dict[str, str] = {}

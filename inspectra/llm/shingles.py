@@ -38,8 +38,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: (first row, hashes of all words, where each row's words begin and the last ones end)."""
+def word_spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: (bytes, where words start, where they end, their hashes, where each row's words begin and the last ones end)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
@@ -59,14 +59,14 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         up, down = powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, U)
         np.cumsum(LOWERED[part] * up[: len(part)], out=sums[1:])
-        yield first, mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, rows)
+        yield part, starts, ends, mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, rows)
         first = last
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Each row's distinct shingle hashes, ascending: all `width` words in a row; fewer words: the whole sequence as one."""
     factors = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(width)], U)
-    for _, hashes, bounds in word_hashes(texts):
+    for _, _, _, hashes, bounds in word_spans(texts):
         n = len(hashes) - width + 1
         rolled = np.zeros(max(n, 0), U)
         for k in range(width):
