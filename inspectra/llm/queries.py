@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, lm, mixing, packing, quality, tokens, urls, vectors
+from . import html, jaccard, licenses, lm, mixing, packing, quality, tokens, urls, vectors
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), ranks=ranks, pattern=public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
