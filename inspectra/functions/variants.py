@@ -72,5 +72,5 @@ def first_defined(value: Column, key: str, sections: tuple[str, ...]) -> Column:
 
 
 def range_text(low: Column, mid: Column, high: Column) -> Column:
-    shown = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit("-"))
+    shown = lambda c: F.when(c.isNotNull(), F.format_string("%.1f", c)).otherwise("-")
     return F.concat_ws(" / ", shown(low), shown(mid), shown(high))

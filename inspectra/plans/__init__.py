@@ -1,6 +1,6 @@
 """Composed queries over the business tables and their SQL twins."""
 
-from . import inspection
+from . import dataset, inspection
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "inspection"]
+__all__ = ["ORACLES", "QUERIES", "dataset", "inspection"]

@@ -366,12 +366,12 @@ def document_scalars(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", hashing.content_hash(F.col("text")).alias("md5"), hashing.content_hash(F.col("text"), "sha256").alias("sha256"), text.canonical_class(F.concat_ws(" ", "source", "lang")).alias("cls"), text.label_of(F.col("lang"), {"en": "English", "de": "German"}).alias("language"))
 
 
-@query("""SELECT event_id, 'sim-' || substr(sha256('b|' || event_type || '|' || user_id || '|' || event_id), 1, 32) AS key, 'b-' || lpad(event_id::VARCHAR, greatest(3, length(event_id::VARCHAR))::INT, '0') AS place, CASE WHEN value <= 1 THEN printf('%.1f%%', value * 100) ELSE printf('%.1f%%', value) END AS shown FROM events""")
+@query("""SELECT event_id, 'sim-' || substr(sha256('b|' || event_type || '|' || user_id || '|' || event_id), 1, 32) AS key, 'b-' || lpad(event_id::VARCHAR, greatest(3, length(event_id::VARCHAR))::INT, '0') AS place, CASE WHEN floor(value) <= 1 THEN printf('%.1f%%', floor(value) * 100) ELSE printf('%.1f%%', floor(value)) END AS shown FROM events""")
 def event_scalars(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     key = hashing.stable_key(F.lit("b"), F.col("event_type"), F.col("user_id"), F.col("event_id"))
     place = F.regexp_extract(hashing.batch_row_key(F.lit("b"), F.col("event_id"), F.col("event_type")), "^(b-[0-9]+)-", 1)
-    return e.select("event_id", key.alias("key"), place.alias("place"), text.percent_text(F.col("value")).alias("shown"))
+    return e.select("event_id", key.alias("key"), place.alias("place"), text.percent_text(F.floor("value").cast("double")).alias("shown"))
 
 
 @query("SELECT event_id, (props->>'$.k')::DOUBLE AS k FROM events")
