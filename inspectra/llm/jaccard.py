@@ -189,6 +189,17 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def promising(pairs: DataFrame, held: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """The pairs of sets (columns a and b) that can still link by the tokens that their prefixes share.
+
+    The tokens behind the prefix of the set whose prefix ends first are all that the two can share beyond these, so
+    shared + ceil(t n) - 1 bounds their overlap, with the larger n.
+    """
+    met = pairs.join(held.toDF(a, "_na", "_ta"), a).join(held.toDF(b, "_nb", "_tb"), b)
+    most = F.size(F.array_intersect("_ta", "_tb")) + F.ceil(percent * F.greatest("_na", "_nb") / 100) - 1
+    return met.where(most >= least_shared(F.col("_na"), F.col("_nb"), percent)).select(*pairs.columns)
+
+
 def grouped(shared: DataFrame, links: DataFrame | None) -> DataFrame:
     """shared with gid, the smallest uid that a set is linked to so far."""
     if links is None:
@@ -197,17 +208,17 @@ def grouped(shared: DataFrame, links: DataFrame | None) -> DataFrame:
     return shared.join(gids, "uid", "left").withColumn("gid", F.coalesce("g", "uid")).drop("g")
 
 
-def linking_round(shared: DataFrame, texts: DataFrame, number: int, width: int, percent: int, neighbours: int) -> DataFrame:
+def linking_round(shared: DataFrame, texts: DataFrame, held: DataFrame, number: int, width: int, percent: int, neighbours: int) -> DataFrame:
     """Links found between sets of different groups that stand near each other within a token, in a seeded order."""
     line = Window.partitionBy("token").orderBy(F.xxhash64("uid", F.lit(number)), "uid").rowsBetween(-neighbours, -1)
     me = F.struct("uid", "gid", "n", "pos")
     near = shared.select(me.alias("p"), F.collect_list(me).over(line).alias("near"))
     met = near.select("p", F.explode("near").alias("q")).where((F.col("p.gid") != F.col("q.gid")) & may_link("p", "q", percent))
     pairs = met.select(F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b")).distinct()
-    return keep(compared(pairs, texts, width, percent), "jaccard-links")
+    return keep(compared(promising(pairs, held, "a", "b", percent), texts, width, percent), "jaccard-links")
 
 
-def open_groups(shared: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def open_groups(shared: DataFrame, texts: DataFrame, held: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links between sets of different groups: one for each set of the smaller group and block of the larger."""
     rest, n = F.col("n") - F.col("pos") - 1, F.col("n")
     indexed = F.col("pos") < n - F.ceil(2 * percent * n / (100 + percent)) + 1
@@ -220,7 +231,9 @@ def open_groups(shared: DataFrame, texts: DataFrame, width: int, percent: int, b
 
     members = keep(shared.select("uid", "gid").distinct(), "jaccard-members")
     count = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    sized = pairs.join(count.toDF("g", "gs"), "g").join(count.toDF("h", "hs"), "h")
+    sized = keep(pairs.join(count.toDF("g", "gs"), "g").join(count.toDF("h", "hs"), "h"), "jaccard-pairs")
+    alone = (F.col("gs") == 1) & (F.col("hs") == 1)  # then a group's id is its set's
+    sized = keep(promising(sized.where(alone), held, "g", "h", percent).unionByName(sized.where(~alone)), "jaccard-pairs")
     larger = F.col("gs") >= F.col("hs")
     asks = sized.select(F.when(larger, F.col("g")).otherwise(F.col("h")).alias("target"), F.when(larger, F.col("h")).otherwise(F.col("g")).alias("gid"), F.greatest("gs", "hs").alias("size"))
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -268,14 +281,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = keep(single.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1").drop("held"), "jaccard-shared")
     named = rows.where("doc_id is not null and uid is not null")
     reps = named.groupBy("uid").agg(F.min("doc_id").alias("doc_id"))
+    held = keep(shared.groupBy("uid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "jaccard-prefixes")
     texts = keep(bodies(docs, shared.select("uid").distinct().join(reps, "uid")), "jaccard-texts")
     twice = named.groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a < b")
     links = named.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("uid").alias("b")).where("a <> b")
     found: DataFrame | None = None
     for i in range(rounds):
-        more = linking_round(grouped(shared, found), texts, i, width, percent, neighbours)
+        more = linking_round(grouped(shared, found), texts, held, i, width, percent, neighbours)
         found = more if found is None else found.union(more)
-    last = open_groups(keep(grouped(shared, found), "jaccard-grouped"), texts, width, percent, block)
+    last = open_groups(keep(grouped(shared, found), "jaccard-grouped"), texts, held, width, percent, block)
     parts = components(links.union(last) if found is None else links.union(found).union(last), "a", "b").toDF("uid", "part")
     ends = reps.join(parts, "uid", "left").withColumn("part", F.coalesce("part", "uid"))
     smallest = ends.groupBy("part").agg(F.min("doc_id").alias("component_id"))
