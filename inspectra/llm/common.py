@@ -49,6 +49,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of a few megabytes for this session, so that Python workers stay small beside long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def seeded(seed: str, *cols: Column) -> Column:
     """A number from 0 to 2^60 - 1 drawn from the seed and the columns; the same in any SQL engine with md5."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 from .graph import components
 from .shingles import mixed, shingle_sets
 
@@ -50,21 +50,15 @@ def measured(docs: DataFrame, width: int, cells: int) -> DataFrame:
     """doc_id, n and uid of every document, and rows with a slice of the task's sketch (slice, counts)."""
 
     def measure(batches):
-        counts, held, size = np.zeros(cells, np.uint32), [], 0
+        counts = np.zeros(cells, np.uint32)
         for part in batches:
             n, uid = [], []
             for tokens in shingle_sets(part.column("text"), width):
                 n.append(len(tokens))
                 uid.append(set_id(tokens) if len(tokens) else None)
-                held.append((tokens & np.uint64(cells - 1)).astype(np.int32))
-                size += len(tokens)
-                if size > 1_000_000:
-                    counts += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
-                    held, size = [], 0
+                counts[(tokens & np.uint64(cells - 1)).astype(np.int64)] += 1  # two tokens of one text in a cell count once
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "uid", "slice", "counts"])
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
         few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, min(SLICE, cells))
         for i, x in enumerate(few):
             if x.any():
@@ -272,6 +266,7 @@ def open_groups(shared: DataFrame, texts: DataFrame, held: DataFrame, width: int
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = WIDTH, percent: int = PERCENT, cells: int = CELLS, rounds: int = ROUNDS, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = keep(measured(docs, width, cells), "jaccard-sets")
     rows = every.where("slice is null").select("doc_id", "n", "uid")

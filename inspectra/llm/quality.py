@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep, small_batches
+
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -96,12 +98,14 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: floa
     """docs with the measures, n_failed (soft rules), base_failed, host_bad and kept.
 
     The texts are read twice: once for the counts by host and once for the verdicts, so that no text is shuffled. The
-    hosts join by a plain equi-join: Spark broadcasts them while they are few and splits a hot host when they are not.
+    verdicts are written and join by a plain equi-join: Spark broadcasts them while their table is small and splits a hot
+    host when it is not.
     """
+    small_batches(docs.sparkSession)
     names = list(soft_rules(F.col("_m")))
     measured = docs.withColumn("_m", measures(F.col(text)))
     flagged = measured.select(host_key(host).alias("_host"), *[c.alias(r) for r, c in soft_rules(F.col("_m")).items()])
-    verdicts = host_verdicts(flagged, "_host", names, limit).select("_host", "bad")
+    verdicts = keep(host_verdicts(flagged, "_host", names, limit).select("_host", "bad"), "quality-hosts")
     out = measured.withColumn("_host", host_key(host)).join(verdicts, "_host", "left")
     failed = sum((c.cast("int") for c in soft_rules(F.col("_m")).values()), F.lit(0))
     base, bad = base_failed(F.col("_m")), F.coalesce(F.col("bad"), F.lit(False))

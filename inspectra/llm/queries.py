@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html, jaccard, licenses, lm, mixing, packing, quality, tokens, urls, vectors
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +60,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), ranks=ranks, pattern=public_tokenizers.PATTERN)
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores)}
-ORACLES: dict[str, str] = {}
