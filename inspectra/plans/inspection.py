@@ -279,7 +279,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT l_orderkey AS review_id, l_returnflag AS cls, l_discount AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS box FROM lineitem WHERE l_quantity > 45 AND l_orderkey % 5 <> 0),
 f AS (SELECT cls, row_number() OVER (ORDER BY min({'r': review_id, 'b': box})) - 1 AS class_id FROM b GROUP BY cls)
-SELECT review_id, box, b.cls, class_id, printf('%d %.6f %.6f %.6f %.6f', class_id, 0.5::DOUBLE, (d + 0.5::DOUBLE), 1.0::DOUBLE, 1.0::DOUBLE) FROM b JOIN f USING (cls)""")
+SELECT review_id, box, b.cls, class_id, printf('%d %.6f %.6f %.6f %.6f', class_id, 0.5::DOUBLE, (d + 0.5::DOUBLE), 1.0::DOUBLE, 1.0::DOUBLE) AS line FROM b JOIN f USING (cls)""")
 def exported_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Label lines of pending feedback; boxes smaller than a pixel grow to one, as all of these do."""
     versions = spark.createDataFrame([("v0",)], "version string")
