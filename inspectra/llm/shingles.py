@@ -38,14 +38,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_spans(texts: pa.Array, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows: (bytes, where words start, where they end, their hashes, where each row's words begin and the last ones end)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, "right")) - 1)
         part, rows = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         inside = IN_WORD[part]
         before = np.empty_like(inside)

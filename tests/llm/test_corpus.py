@@ -199,7 +199,7 @@ def test_gradients_equal_differences():
     draw = np.random.default_rng(6)
     m = {k: v.astype("float64") for k, v in attention.fresh(np.ones(attention.IDS)).items()}
     m["U"] = draw.standard_normal(m["U"].shape) * 0.3
-    seq, bounds = draw.integers(0, 256, 90), np.array([0, 50, 90])
+    seq, bounds = draw.integers(0, attention.IDS, 90), np.array([0, 50, 90])
     inputs, padding, targets, owner = attention.windows(seq, bounds)
     assert (targets >= 0).sum() == 90 and list(np.bincount(owner)) == [2, 2]
     assert [t for t in targets.ravel() if t >= 0] == seq.tolist()
@@ -218,7 +218,7 @@ def test_attention_learns_what_came_before():
     draw = np.random.default_rng(7)
     runs = np.concatenate([np.append(np.full(40, draw.integers(0, 20)), attention.END) for _ in range(150)])
     bounds = np.arange(0, len(runs) + 1, 41)
-    before = attention.fresh(np.bincount(runs, minlength=256))
+    before = attention.fresh(np.bincount(runs, minlength=attention.IDS))
     after = attention.train(before, runs, bounds, 0.01, 200, 1)
     w = attention.windows(runs, bounds)[:3]
     assert attention.log_probabilities(after, *w).sum() > 0.5 * attention.log_probabilities(before, *w).sum()
