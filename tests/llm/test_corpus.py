@@ -251,3 +251,27 @@ def test_scores_base_and_held_out(spark):
     assert all(r["score"] < 0 for r in out)
     empty = lm.score_texts(docs(spark, []).limit(0), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     assert empty.count() == 0
+
+
+def test_attention_learns_from_every_training_document(spark, monkeypatch):
+    import public_tokenizers
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30 + i % 7)), "s") for i in range(120)]
+    learned, averaged = [], lm.averaged
+
+    def watched(sample, *rest):
+        learned.extend(len(r["ids"]) for r in sample.collect())
+        return averaged(sample, *rest)
+
+    monkeypatch.setattr(lm, "averaged", watched)
+    out = lm.score_texts(docs(spark, rows), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).collect()
+    assert sorted(learned) == sorted(r["n_tokens"] for r in out if not r["held_out"])
+    assert attention.RARE >= 254
+
+
+def test_end_counts_outside_the_head(spark):
+    import public_tokenizers
+
+    rows = [(i, "aa bb cc " * 40, "s") for i in range(30)]
+    score = lambda head: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs(spark, rows), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, head=head, rounds=0).collect())
+    assert score(3) == score(100)
