@@ -3,8 +3,9 @@
 Every page is parsed once into text blocks with their place in the tree: the tags from the root, with classes and ids.
 Blocks of all pages of a host are counted by place and content. A place whose contents are nearly the same on all its
 pages (low entropy) is presentation, not content, and its branch is removed from the host's pages. Tags, roles and class
-names that say what they are - navigation, adverts, comments, forms - are removed wherever they stand, and an article or
-main element, where a page has one, bounds the text; inside it only those names remove, so copies of an article stay.
+names that say what they are - navigation, adverts, comments, forms - are removed wherever they stand. An article or
+main element is evidence of content: a place in it is removed at half the entropy only, and never all of it; and where it
+holds at least half of what is left of a page, it bounds the text.
 
 Defined cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes; a host with fewer
 than MIN_PAGES pages at a place removes nothing by entropy; repeated rows count as pages; an empty table gives an empty
@@ -135,23 +136,28 @@ def parse(html: str | None) -> list[Block]:
     return out
 
 
+def key(block: Block) -> int:
+    return crc32(f"{block.place}{'!' if block.inside else ''}".encode())
+
+
 def style_tree(pages: DataFrame, host: str, html: str, min_pages: int = MIN_PAGES, min_entropy: float = MIN_ENTROPY) -> DataFrame:
     """host and places: the hashed places of low importance, for hosts that have any.
 
-    Importance of a place: entropy of its contents over the pages that have it, divided by the log of their number.
+    Importance of a place: entropy of its contents over the pages that have it, divided by the log of their number; half
+    of min_entropy is enough inside an article or main.
     Counts are summed before and after the shuffle; a hot host is spread by place and content.
     """
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(h, crc32(b.place.encode()), hash64(b.text)) for h, x in zip(part["host"], part["html"]) for b in parse(x) if not b.noise and not b.inside]
-            yield pd.DataFrame(rows, columns=["host", "place", "content"])
+            rows = [(h, key(b), b.inside, hash64(b.text)) for h, x in zip(part["host"], part["html"]) for b in parse(x) if not b.noise]
+            yield pd.DataFrame(rows, columns=["host", "place", "inside", "content"])
 
-    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(places, "host string, place long, content long")
-    contents = seen.groupBy("host", "place", "content").agg(F.count(F.lit(1)).alias("n"))
-    tree = contents.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("weight"))
+    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(places, "host string, place long, inside boolean, content long")
+    contents = seen.groupBy("host", "place", "inside", "content").agg(F.count(F.lit(1)).alias("n"))
+    tree = contents.groupBy("host", "place", "inside").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("weight"))
     entropy = (F.ln("pages") - F.col("weight") / F.col("pages")) / F.ln("pages")
-    low = tree.where((F.col("pages") >= min_pages) & (entropy < min_entropy))
+    low = tree.where((F.col("pages") >= min_pages) & (entropy < F.when(F.col("inside"), min_entropy / 2).otherwise(min_entropy)))
     return low.groupBy("host").agg(F.collect_set("place").alias("places"))
 
 
@@ -162,10 +168,14 @@ def hash64(text: str) -> int:
 
 def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page without noise and without the host's low places."""
-    blocks = parse(html)
-    if any(b.inside and not b.noise for b in blocks):
-        return "\n".join(b.text for b in blocks if b.inside and not b.noise)
-    return "\n".join(b.text for b in blocks if not b.noise and (not low or crc32(b.place.encode()) not in low))
+    blocks = [b for b in parse(html) if not b.noise]
+    left = [b for b in blocks if key(b) not in low] if low else blocks
+    inside, outside = [b for b in left if b.inside], [b for b in left if not b.inside]
+    if not inside:
+        inside = [b for b in blocks if b.inside]
+        left = [b for b in blocks if b.inside or key(b) not in low]
+    bounds = inside and sum(len(b.text) for b in inside) >= sum(len(b.text) for b in outside)
+    return "\n".join(b.text for b in (inside if bounds else left))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_entropy: float = MIN_ENTROPY) -> DataFrame:

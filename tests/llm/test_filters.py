@@ -110,6 +110,14 @@ def test_style_tree_drops_what_all_pages_of_a_host_share(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_looks_inside_articles(spark):
+    rows = [(i, f"http://h.org/{i}", f"<article><p>Page {i} is its own</p><p class='fine'>Same words everywhere</p></article>") for i in range(20)]
+    rows += [(100 + i, f"http://i.org/{i}", f"<div>{i}</div><article><p>One text for all</p></article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Page 3 is its own" and got[103] == "One text for all"
+    assert html.main_text("<div><p>The long text of this page</p></div><article>teaser</article>") == "The long text of this page\nteaser"
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
