@@ -8,8 +8,8 @@ main element is evidence of content: a place in it is removed at half the entrop
 holds at least half of what is left of a page, it bounds the text.
 
 Defined cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes; a host with fewer
-than MIN_PAGES pages at a place removes nothing by entropy; repeated rows count as pages; an empty table gives an empty
-table; other columns of the input are kept, result columns replace those of the same name.
+than MIN_PAGES distinct pages at a place removes nothing by entropy; pages of a host with the same blocks count as one; an
+empty table gives an empty table; other columns of the input are kept, result columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep
 from .urls import url_host
 
-#: A place needs this many pages for its entropy to count, and at least this much entropy (of 1) to stay.
+#: A place needs this many distinct pages for its entropy to count, and at least this much entropy (of 1) to stay.
 MIN_PAGES, MIN_ENTROPY = 8, 0.35
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|math|object|video|audio|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
@@ -143,20 +143,31 @@ def key(block: Block) -> int:
 def style_tree(pages: DataFrame, host: str, html: str, min_pages: int = MIN_PAGES, min_entropy: float = MIN_ENTROPY) -> DataFrame:
     """host and places: the hashed places of low importance, for hosts that have any.
 
-    Importance of a place: entropy of its contents over the pages that have it, divided by the log of their number; half
-    of min_entropy is enough inside an article or main.
+    Importance of a place: entropy of its contents, each counted once on every distinct page that has it, divided by the
+    log of the sum of these counts; half of min_entropy is enough inside an article or main.
     Counts are summed before and after the shuffle; a hot host is spread by place and content.
     """
 
+    names = ["host", "page", "place", "inside", "content", "first"]
+
+    def page(host: str | None, html: str | None) -> list[tuple]:
+        blocks = [b for b in parse(html) if not b.noise]
+        own = hash64("\0".join(f"{b.place}\0{b.inside}\0{b.text}" for b in blocks))
+        places: set[int] = set()
+        rows = []
+        for place, inside, content in dict.fromkeys((key(b), b.inside, hash64(b.text)) for b in blocks):
+            rows.append((host, own, place, inside, content, int(place not in places)))
+            places.add(place)
+        return rows
+
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(h, key(b), b.inside, hash64(b.text)) for h, x in zip(part["host"], part["html"]) for b in parse(x) if not b.noise]
-            yield pd.DataFrame(rows, columns=["host", "place", "inside", "content"])
+            yield pd.DataFrame([x for h, t in zip(part["host"], part["html"]) for x in page(h, t)], columns=names)
 
-    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(places, "host string, place long, inside boolean, content long")
-    contents = seen.groupBy("host", "place", "inside", "content").agg(F.count(F.lit(1)).alias("n"))
-    tree = contents.groupBy("host", "place", "inside").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("weight"))
-    entropy = (F.ln("pages") - F.col("weight") / F.col("pages")) / F.ln("pages")
+    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(places, "host string, page long, place long, inside boolean, content long, first long").distinct()
+    contents = seen.groupBy("host", "place", "inside", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"))
+    tree = contents.groupBy("host", "place", "inside").agg(F.sum("first").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("weight"))
+    entropy = (F.ln("n") - F.col("weight") / F.col("n")) / F.ln("n")
     low = tree.where((F.col("pages") >= min_pages) & (entropy < F.when(F.col("inside"), min_entropy / 2).otherwise(min_entropy)))
     return low.groupBy("host").agg(F.collect_set("place").alias("places"))
 

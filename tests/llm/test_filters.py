@@ -118,6 +118,14 @@ def test_style_tree_looks_inside_articles(spark):
     assert html.main_text("<div><p>The long text of this page</p></div><article>teaser</article>") == "The long text of this page\nteaser"
 
 
+def test_copies_of_a_page_count_once_in_the_style_tree(spark):
+    page = lambda i: f"<body><div class='text'><p>Page {i} is its own</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page(0)) for i in range(12)]
+    rows += [(100 + i, f"http://i.org/{i}", page(max(i, 70))) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Page {0 if i < 100 else max(i - 100, 70)} is its own" for i in got} and len(got) == 112
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
