@@ -46,11 +46,12 @@ def split_hash_leakage(train: DataFrame, val: DataFrame, name: str, hash: str) -
 def near_duplicates(df: DataFrame, id: str, hash64: str, content_hash: str, t: int, bits: int = 64) -> DataFrame:
     """Pairs (first_id < second_id) whose hashes differ in at most t bits and whose contents differ; distance.
 
-    t + 1 disjoint bands of bits: two such hashes agree in one band at least, so an equi-join on (band, value) finds all.
+    t + 1 disjoint bands of bits, of sizes that differ by at most one: two such hashes agree in one band at least, so an
+    equi-join on (band, value) finds all. With t >= bits a band is empty and all pairs meet, as all are within t.
     Equal rows (hash and content) are joined once and multiplied at the end, so a hot image costs its own size.
     """
-    size = -(-bits // (t + 1))
-    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(hash64), i * size).bitwiseAND((1 << size) - 1).alias("value")) for i in range(t + 1) if i * size < bits]
+    starts = [i * bits // (t + 1) for i in range(t + 2)]
+    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(hash64), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
     kinds = df.select(F.col(hash64).alias("h"), F.col(content_hash).alias("c")).distinct()
     cut = kinds.select("h", "c", F.explode(F.array(*bands)).alias("b")).select("h", "c", "b.band", "b.value")
     a, b = cut.toDF("h1", "c1", "band", "value"), cut.toDF("h2", "c2", "band", "value")

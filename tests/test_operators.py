@@ -79,6 +79,15 @@ def test_banded_join_equals_brute_force(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and bits(a[1], b[1]) <= 4}
 
 
+def test_near_duplicates_that_differ_in_every_wider_band(spark):
+    for t, bits in ((14, 63), (16, 63), (0, 64)):
+        size = -(-bits // (t + 1))
+        other = sum(1 << i for i in range(0, bits, size)) if t else 0
+        df = spark.createDataFrame([(1, 0, "a"), (2, other, "b"), (3, (1 << 63) - 1, "c")], "id long, h long, c string")
+        got = [tuple(r) for r in J.near_duplicates(df, "id", "h", "c", t, bits).collect()]
+        assert got == [(1, 2, bin(other).count("1"))] and got[0][2] <= t
+
+
 def test_auroc_cases(spark):
     make = lambda pairs: spark.createDataFrame(pairs, "y int, s double")
     value = lambda pairs: A.auroc(make(pairs), "y", "s").first()["auroc"]
