@@ -18,11 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join, that with the smallest id; rows with a null id stay."""
-    parts = jaccard.jaccard_components(docs)
-    gone = keep(parts.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    return rest.where("doc_id is null").unionByName(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each component of the Jaccard join, that with the smallest id, null ids last.
+
+    A document is an id with a text: texts that share an id, or have none, are documents of their own, equal ones are one.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    parts = jaccard.jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    named = keep(parts.join(rows.select("_row", "doc_id").distinct(), "_row"), "pipeline-parts")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    first = named.groupBy("component_id").agg(least.alias("_first"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    gone = keep(named.join(first, "component_id").where("_row <> _first").select("_row"), "pipeline-gone")
+    return rows.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

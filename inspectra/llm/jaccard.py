@@ -140,7 +140,9 @@ class Sets:
         """The set of a text, None if it is not the set of that id (another text with the same doc_id)."""
         if uid not in self.known:
             tokens = next(shingle_sets(pa.array([zlib.decompress(body).decode()]), self.width))
-            self.known[uid] = tokens if len(tokens) and set_id(tokens) == uid else None
+            if not len(tokens) or set_id(tokens) != uid:
+                return None
+            self.known[uid] = tokens
             if len(self.known) > 2000:
                 self.known.popitem(last=False)
         return self.known[uid]

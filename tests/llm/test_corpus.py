@@ -161,6 +161,24 @@ def test_jaccard_edge_rows(spark):
     assert jaccard.jaccard_components(docs(spark, []).limit(0), cells=1 << 10).count() == 0
 
 
+def test_sets_wait_for_the_text_of_their_id():
+    import zlib
+
+    texts = [" ".join(f"{p}{k}" for k in range(60)) for p in "ab"]
+    bodies = [zlib.compress(t.encode(), 1) for t in texts]
+    ids = [jaccard.set_id(next(jaccard.shingle_sets(pa.array([t]), jaccard.WIDTH))) for t in texts]
+    sets = jaccard.Sets(jaccard.WIDTH)
+    assert sets.of(ids[1], bodies[0]) is None and len(sets.of(ids[1], bodies[1])) and len(sets.of(ids[0], bodies[0]))
+
+
+def test_jaccard_links_all_texts_of_an_id(spark):
+    text = lambda p: " ".join(f"{p}{k}" for k in range(120))
+    names = [f"t{i}x" for i in range(12)]
+    rows = [(1, text(p), "s") for p in names] + [(100 + i, text(p) + " edit", "s") for i, p in enumerate(names)]
+    for rounds in (0, 2):
+        assert {r["component_id"] for r in jaccard.jaccard_components(docs(spark, rows), rounds=rounds).collect()} == {1}
+
+
 def test_shingle_words_are_byte_runs():
     texts = ["Ab cD x", None, "", "ab cd x", "\x1cq \x0b w", "ab"]
     spans = list(shingles.word_spans(pa.array(texts)))

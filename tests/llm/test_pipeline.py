@@ -43,3 +43,14 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    draw = random.Random(3)
+    text = lambda: " ".join(f"w{draw.randint(0, 3000)}" for _ in range(120))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(7, a), (7, b), (7, a), (8, b + " edit"), (None, c), (None, c + " edit"), (None, a + " other"), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 4 and {(7, a), (7, b), (None, d)} < set(got)
+    assert len({(None, c), (None, c + " edit")} & set(got)) == 1
