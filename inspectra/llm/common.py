@@ -31,6 +31,14 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or a local one in a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)

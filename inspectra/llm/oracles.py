@@ -5,26 +5,33 @@ op2 is sequential within a shard, op3 and op10 train models, op8 needs a tokeniz
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, THRESHOLD
+from .licenses import TEMPLATES, THRESHOLD, Known
 from .mixing import BLOCK, SHARD_WORDS
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-LICENSES = " UNION ALL ".join(f"SELECT '{name}' AS name, $${text}$$ AS text" for name, text in TEMPLATES)
-
-
-def _bigrams(column: str) -> str:
-    w = f"list_filter(regexp_split_to_array({column}, '[ \\n]+'), lambda x: x <> '')"
-    return f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
-
+_KNOWN = Known(TEMPLATES, THRESHOLD)
+_LICENSES = ", ".join(f"({k}, '{name}', {n}, {len(pairs)})" for k, (name, n, pairs) in enumerate(_KNOWN.rows))
+_PAIRS = ", ".join(f"({k}, '{p}')" for k, (_, _, pairs) in enumerate(_KNOWN.rows) for p in pairs)
+_ANCHORS = ", ".join(f"('{p}', {k}, {place})" for p, at in _KNOWN.anchors.items() for k, place in at)
 
 OP1 = rf"""
-WITH t AS (SELECT name, {_bigrams("n")} AS p FROM (SELECT name, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS n FROM ({LICENSES}))),
+WITH t(k, name, n, np) AS (VALUES {_LICENSES}), tp(k, p) AS (VALUES {_PAIRS}), an(p, k, place) AS (VALUES {_ANCHORS}),
 d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS n, row_number() OVER () AS r FROM documents),
-s AS (SELECT r, unnest(list_distinct(list_concat([n], regexp_split_to_array(n, '\n(?: *\n)+'), string_split(n, chr(10))))) AS seg FROM d),
-b AS (SELECT r, {_bigrams("seg")} AS p, row_number() OVER () AS k FROM s),
-m AS (SELECT r, k, name, 2.0::DOUBLE * len(list_intersect(b.p, t.p)) / (len(b.p) + len(t.p)) AS dice FROM b JOIN t ON len(b.p) BETWEEN {THRESHOLD / (2 - THRESHOLD)}::DOUBLE * len(t.p) - 0.001 AND {(2 - THRESHOLD) / THRESHOLD}::DOUBLE * len(t.p) + 0.001),
-best AS (SELECT r, k, arg_min(name, {{'d': -dice, 'n': name}}) AS name, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY 1, 2),
+s AS (SELECT r, seg, seg = n AS whole, row_number() OVER () AS s FROM (SELECT r, n, unnest(list_distinct(list_concat([n], regexp_split_to_array(n, '\n(?: *\n)+'), string_split(n, chr(10))))) AS seg FROM d)),
+w AS (SELECT r, s, whole, list_filter(regexp_split_to_array(seg, '[ \n]+'), lambda x: x <> '') AS w FROM s),
+u AS (SELECT r, s, whole, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM w),
+b AS (SELECT r, s, whole, i, x || ' ' || lead(x) OVER (PARTITION BY s ORDER BY i) AS p FROM u QUALIFY p IS NOT NULL),
+sn AS (SELECT r, s, count(DISTINCT p) AS n FROM b GROUP BY 1, 2),
+sh AS (SELECT b.s, tp.k, count(DISTINCT b.p) AS shared FROM b JOIN tp USING (p) GROUP BY 1, 2),
+sm AS (SELECT r, s, name, 2.0::DOUBLE * shared / (sn.n + t.np) AS dice FROM sh JOIN sn USING (s) JOIN t USING (k)),
+segs AS (SELECT r, arg_min(name, {{'d': -dice, 'n': name}}) AS name, max(dice) AS dice FROM sm WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r, s),
+st AS (SELECT DISTINCT r, s, k, greatest(i - place, 0) AS frm FROM b JOIN an USING (p) WHERE whole),
+wp AS (SELECT st.r, st.k, st.frm, t.name, t.n, t.np, b.p FROM st JOIN t USING (k) JOIN b ON b.s = st.s AND b.i >= st.frm AND b.i < st.frm + t.n),
+wd AS (SELECT r, wp.k, frm, name, n, 2.0::DOUBLE * count(DISTINCT tp.p) / (count(DISTINCT wp.p) + np) AS dice FROM wp LEFT JOIN tp ON tp.k = wp.k AND tp.p = wp.p GROUP BY r, wp.k, frm, name, n, np),
+wb AS (SELECT r, name, frm, frm + n AS fin, -dice AS minus, k, {{'minus': -dice, 'name': name, 'k': k, 'frm': frm}} AS ord FROM wd WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY -dice, frm) = 1),
+wins AS (SELECT r, name, -minus AS dice FROM wb x WHERE NOT EXISTS (SELECT 1 FROM wb y WHERE y.r = x.r AND y.frm < x.fin AND x.frm < y.fin AND y.ord < x.ord)),
+best AS (SELECT * FROM segs UNION ALL SELECT * FROM wins),
 f AS (SELECT r, arg_min(name, {{'d': -dice, 'n': name}}) AS license, round(max(dice), 6) AS dice, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY 1)
 SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses FROM d LEFT JOIN f USING (r)
 """

@@ -14,7 +14,7 @@ def test_license_lines_paragraphs_and_nothing(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
     rows = [(0, "Some text.\nReleased under the MIT License.\nMore.", "a"), (1, None, None), (2, "", "a"), (3, mit.replace("hereby ", ""), "a"), (4, "word " * 500, "a"), (5, "x\n\nlicensed UNDER cc by-nc 4.0\n\nreleased under the mit license", "a")]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
-    assert got[0]["license"] == "MIT" and got[0]["dice"] == 1.0 and got[0]["n_matches"] == 1
+    assert got[0]["license"] == "MIT" and got[0]["dice"] == 1.0 and got[0]["n_matches"] == 2
     assert got[1]["license"] is None and got[2]["license"] is None and got[4]["n_matches"] == 0
     assert got[3]["license"] == "MIT" and 0.9 < got[3]["dice"] < 1
     assert got[5]["licenses"] == "CC-BY-NC-4.0,MIT"
@@ -23,15 +23,39 @@ def test_license_lines_paragraphs_and_nothing(spark):
 def test_dice_equals_brute_force(spark):
     def pairs(t):
         w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
-        return set(zip(w, w[1:]))
+        return list(zip(w, w[1:]))
 
+    dice = lambda a, b: 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b)))
     texts = [" ".join(t.split()[: k % 40 + 4]) for k, (_, t) in enumerate(licenses.TEMPLATES * 3)]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
-        best = max((2 * len(pairs(t) & pairs(x)) / (len(pairs(t)) + len(pairs(x))) if pairs(t) else 0) for _, x in licenses.TEMPLATES)
+        p, best = pairs(t), 0
+        for _, x in licenses.TEMPLATES:
+            n = len(pairs(x))
+            best = max([best, dice(p, pairs(x)), *(dice(p[k : k + n], pairs(x)) for k in range(max(len(p) - n, 0) + 1))])
         assert (got[i]["dice"] or 0) == pytest.approx(best if best >= licenses.THRESHOLD else 0, abs=1e-6)
 
 
+def test_licenses_of_several_paragraphs_and_within_sentences(spark):
+    whole = {n: t for n, t in licenses.TEMPLATES if len(t) > 300}
+    paragraphs = lambda t: "\n\n".join(" ".join(t.split()[k : k + 40]) for k in range(0, len(t.split()), 40))
+    filler = "some words of another kind here " * 200
+    rows = [(i, f"{filler}\n\n{paragraphs(t)}\n\n{filler}", "a") for i, t in enumerate(whole.values())]
+    rows += [(100, f"{filler} this file is part of foo and is released under the MIT License, {filler}", "a"), (101, "licensed under " * 3000, "a"), (102, filler * 20, "a")]
+    rows += [(103, "Released under the MIT License. " * 3, "a")] * 2
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
+    for i, name in enumerate(whole):
+        assert (got[i]["license"], got[i]["dice"]) == (name, 1.0), name
+    assert got[100]["licenses"] == "MIT" and got[101]["license"] is None and got[102]["license"] is None and got[103]["license"] == "MIT"
+
+
+def test_license_scan_of_odd_tables(spark):
+    clash = spark.createDataFrame([(1, "Released under the MIT License.", 7, "x")], "doc_id long, text string, found long, License string")
+    out = licenses.scan(clash)
+    assert out.columns == ["doc_id", "text", "found", "license", "dice", "n_matches", "licenses"] and out.first()["found"] == 7
+    assert licenses.scan(clash.limit(0)).count() == 0 and licenses.scan(clash, templates=()).first()["license"] is None
+
+
 def test_url_rules_and_mined_rules(spark):
     pages = [(i, f"https://www.spam{i % 3}.example.org/en/{i}") for i in range(30)] + [(100 + i, f"http://good.example.org/de/{i}") for i in range(30)]
     pages += [(200, "https://a.example.com/en/x"), (201, "https://WWW.example.com/en/x?q"), (202, "https://b.com/q"), (203, "http://x.net/es/1#f"), (204, None), (205, "nothing"), (206, "http://notexample.com/en/"), (207, "http://x.net")]
