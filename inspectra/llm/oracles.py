@@ -5,8 +5,11 @@ op2 is sequential within a shard, op3 and op10 train models, op8 needs a tokeniz
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from .licenses import TEMPLATES, THRESHOLD, Known
 from .mixing import BLOCK, SHARD_WORDS
+from .quality import LIFT, PROBABILITY
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -77,11 +80,12 @@ m AS (SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, greatest(len(w), 1) AS n FROM d LEFT JOIN cov USING (r) LEFT JOIN ln USING (r)),
 f AS (SELECT *, coalesce(source, '') AS host, source IS NULL AS none, NOT (word_chars / n BETWEEN 2.5::DOUBLE AND 12) AS f1, 10 * n_symbols > n AS f2, 10 * n_dup_lines > 3 * n_lines AS f3, 10 * n_repeat_words > 2 * n AS f4 FROM m),
 x AS (SELECT none, host, rule, count(*) AS n, count(*) FILTER (bad) AS k FROM (SELECT none, host, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS bad FROM f) GROUP BY ALL),
-p AS (SELECT rule, sum(k) / greatest(sum(n), 1) AS mean, var_pop(k / n) AS v FROM x GROUP BY 1),
-st AS (SELECT rule, mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1), 1000) ELSE 1000 END AS strength FROM p),
-h AS (SELECT none, host, max((k + mean * strength) / (n + strength)) > 0.5 AS bad FROM x JOIN st USING (rule) GROUP BY 1, 2),
-j AS (SELECT f.*, f1::INT + f2::INT + f3::INT + f4::INT AS n_failed, h.bad AS host_bad, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f JOIN h USING (none, host))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_failed < 2 AND NOT (n_failed > 0 AND host_bad) AS kept, n_failed, host_bad FROM j
+g AS (SELECT rule, sum(n)::DOUBLE AS big, sum(n::DOUBLE * n) AS n2, count(*) - 1 AS noise, sum(k)::DOUBLE / sum(n) AS m, sum(k::DOUBLE * k / n) AS ks FROM x GROUP BY 1),
+p AS (SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND big - n2 / big - noise > 0 THEN least(greatest(((ks - big * m * m) / (m * (1 - m)) - noise) / (big - n2 / big - noise), 1 / 1001.0::DOUBLE), 0.5::DOUBLE) ELSE 1 / 1001.0::DOUBLE END AS rho FROM g),
+y AS (SELECT none, host, rule, n, m, 1 / rho - 1 AS s, (k + m * (1 / rho - 1)) / (n + 1 / rho - 1) AS rate FROM x JOIN p USING (rule)),
+h AS (SELECT none, host, bool_or(bad) AS any_bad, bool_or(bad AND rule = 1) AS b1, bool_or(bad AND rule = 2) AS b2, bool_or(bad AND rule = 3) AS b3, bool_or(bad AND rule = 4) AS b4 FROM (SELECT *, rate - {LIFT}::DOUBLE * m > {NormalDist().inv_cdf(PROBABILITY)}::DOUBLE * sqrt(rate * (1 - rate) / (n + s + 1)) AS bad FROM y) GROUP BY 1, 2),
+j AS (SELECT f.*, f1::INT + f2::INT + f3::INT + f4::INT AS n_failed, h.any_bad AS host_bad, f1 AND b1 OR f2 AND b2 OR f3 AND b3 OR f4 AND b4 AS together, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f JOIN h USING (none, host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_failed < 2 AND NOT together AS kept, n_failed, host_bad FROM j
 """
 
 OP7 = """

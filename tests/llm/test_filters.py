@@ -112,6 +112,35 @@ def test_quality_keeps_clean_documents_of_bad_hosts(spark):
     assert quality.judge(docs(spark, []).limit(0)).count() == 0
 
 
+def test_quality_host_verdicts_decide_on_single_failures(spark):
+    clean = " ".join(f"word{i} other{i}" for i in range(60))
+    marked = clean + " #" * 15  # fails the rule of symbols alone
+    rows = [(1000 * h + i, marked if i < k else clean, f"host{h}") for h, k in enumerate([1, 2, 1, 0, 2, 1, 40, 1]) for i in range(60)]
+    got = {r["doc_id"]: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert {i // 1000 for i, r in got.items() if r["host_bad"]} == {6}
+    assert sorted(i for i, r in got.items() if not r["kept"]) == list(range(6000, 6040))
+    assert all(r["n_failed"] == (1 if r["text"] == marked else 0) for r in got.values())
+
+
+def test_host_rates_shrink_less_where_hosts_differ_more(spark):
+    def verdicts(hosts):
+        rows = [(h, i < k) for h, (k, n) in enumerate(hosts) for i in range(n)]
+        return {r["host"]: r for r in quality.host_verdicts(spark.createDataFrame(rows, "host int, x boolean"), "host", ["x"]).collect()}
+
+    alike = verdicts([(10, 100)] * 20 + [(2, 10)])
+    assert alike[20]["rate_x"] == pytest.approx((2 + 1000 * 202 / 2010) / 1010, abs=1e-3) and not any(r["bad_x"] for r in alike.values())
+    apart = verdicts([(0, 100), (50, 100)] * 10 + [(8, 10)])
+    assert apart[20]["rate_x"] > 0.5 and apart[20]["bad_x"] and apart[1]["bad_x"] and not apart[0]["bad_x"]
+    assert not any(r["bad_x"] for r in verdicts([(5, 5)]).values()) and not any(r["bad_x"] for r in verdicts([(0, 5), (0, 9)]).values())
+
+
+def test_quality_of_odd_tables(spark):
+    rows = [(1, "a b c " * 400_000, "h", True, 5, 6), (1, "a b c " * 400_000, "h", False, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bad boolean, measured int, Host_Key int")
+    out = quality.judge(df)
+    assert out.columns[:6] == df.columns and sorted(r["measured"] for r in out.collect()) == [5, 7]
+
+
 def test_main_text_cases():
     page = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a>menu</a></nav>
     <div class="cookie-notice">We use cookies</div><div id="page"><article class="post"><h1>T &amp; A</h1><p>One <b>b</b>old<br>two
