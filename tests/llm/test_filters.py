@@ -1,5 +1,9 @@
 """Licences, URLs, quality, HTML and tokens."""
 
+import math
+import random
+from collections import Counter, defaultdict
+
 import pytest
 from inspectra.llm import html, licenses, quality, tokens, urls
 
@@ -179,6 +183,81 @@ def test_copies_of_a_page_count_once_in_the_style_tree(spark):
     assert got == {i: f"Page {0 if i < 100 else max(i - 100, 70)} is its own" for i in got} and len(got) == 112
 
 
+def test_broken_markup_and_names_that_only_look_like_noise():
+    assert html.main_text("<article><p>x</p><p>5 < 6 is true and more") == "x\n5 < 6 is true and more"
+    assert html.main_text("plain a < b and c") == "plain a < b and c"
+    assert html.main_text("<article><div class='share-price'>12</div><p class='related-work'>y</p><p class='related-posts'>z</p></article>") == "12\ny"
+    deep = "<div>" * 20_000 + "end"
+    assert html.main_text(deep) == "end" and html.main_text("<p>" * 20_000 + "end") == "end"
+    assert html.main_text("<b>" * 20_000 + "x" + "</b>" * 20_000 + "<p>y") == "x\ny"
+    assert html.main_text("<a href='x>unclosed quote</a> <p>after</p>") != "" and html.main_text("x" * 2_000_000) == "x" * 2_000_000
+
+
+def test_tree_alone_removes_boilerplate_inside_and_outside_articles(spark):
+    """No noise tag and no noise word: a strip of links, a notice and a box inside the article, all shared by the host."""
+    draw = random.Random(4)
+    prose = lambda: " ".join(f"w{draw.randint(0, 9999)}" for _ in range(30))
+    links = lambda: "".join(f"<li><a href='/'>{draw.choice('alpha beta gamma delta'.split())}</a></li>" for _ in range(6))
+    texts = [[prose() for _ in range(draw.randint(1, 4))] for _ in range(30)]
+    page = lambda p: f"<div class='x1'><ul>{links()}</ul></div><div class='x2'>All rights are with us</div><article><h2>{p[0][:20]}</h2>{''.join(f'<p>{t}</p>' for t in p)}<div class='x3'>Read this paper daily</div></article>"
+    rows = [(i, f"http://h.org/{i}", page(p)) for i, p in enumerate(texts)] + [(99, "http://small.org", page(texts[0]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert all(got[i] == "\n".join([p[0][:20].strip(), *p]) for i, p in enumerate(texts))
+    assert got[99].endswith("Read this paper daily")
+    low = {r["host"]: set(r["places"]) for r in html.style_tree(df.selectExpr("'h.org' host", "html"), "host", "html").collect()}["h.org"]
+    mixed = [(i, f"http://h.org/{i}", f"<div>Home<p>{prose()}</p></div>") for i in range(12)]
+    kept = html.extract(spark.createDataFrame(mixed, "page_id long, url string, html string")).collect()
+    assert all(r["text"] in mixed[r["page_id"]][2] and not r["text"].startswith("Home") and r["n_chars"] > 60 for r in kept)
+    blocks, _ = html.parse(rows[0][2])
+    gone = html.removed_by_tree(blocks, low)
+    assert [b.text for b, g in zip(blocks, gone) if not g] == [texts[0][0][:20].strip(), *texts[0]] and sum(gone) == 8
+
+
+def test_importance_equals_brute_force(spark):
+    draw = random.Random(5)
+    pages = [f"<div class='a'><p>{draw.choice('xyz')}</p>{'<p>tail</p>' * draw.randint(0, 2)}</div><div class='b'>{draw.randint(0, 9)}<ul><li>{draw.choice('pq')}</li><li>r</li></ul></div>" for _ in range(40)]
+    pages += pages[:5]
+    got = {r["place"]: r["importance"] for r in html.importance(observed_rows(spark, pages)).collect()}
+    seen: dict = {}
+    for blocks, nodes in map(html.parse, set(pages)):
+        seen[str([(b.place, b.text) for b in blocks])] = (blocks, nodes)
+    df, m, child = Counter(), Counter(), defaultdict(Counter)
+    for blocks, nodes in seen.values():
+        df.update({(b.place, b.text) for b in blocks})
+        m.update({b.place for b in blocks})
+        for place, sequence in {(n.place, n.sequence) for n in nodes if n.sequence}:
+            child[place][sequence] += 1
+    own = {p: 1 - sum(n * math.log(n) for (q, _), n in df.items() if q == p) / sum(n for (q, _), n in df.items() if q == p) / math.log(m[p]) for p in m}
+    for p, rating in own.items():
+        assert got[p] == pytest.approx(rating)
+    outer = defaultdict(set)
+    for blocks, _ in seen.values():
+        for b in blocks:
+            for x in html.above(b.node):
+                outer[x].add(b.place)
+    for p, styles in child.items():
+        n = sum(styles.values())
+        many = len({i for i, (_, nodes) in enumerate(seen.values()) if any(x.place == p and x.sequence for x in nodes)})
+        entropy = -sum(k / n * math.log(k / n) for k in styles.values()) / math.log(many)
+        below = {q: sum(c for (r, _), c in df.items() if r == q) for q in outer[p]}
+        content = sum(own[q] * c for q, c in below.items()) / sum(below.values())
+        assert got[p] == pytest.approx((1 - html.GAMMA ** len(styles)) * min(entropy, 1) + html.GAMMA ** len(styles) * content)
+    assert set(got) == set(own) | set(child)
+
+
+def observed_rows(spark, pages):
+    known: set = set()
+    return spark.createDataFrame([x for p in pages for x in html.observed("h", *html.parse(p), known)], html.SEEN)
+
+
+def test_main_text_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "http://h", "<p>a", [1], "k", "m"), (1, "http://h", "<p>a", [1], "k", "m"), (None, None, "", None, None, None)], "page_id long, url string, html string, places array<int>, host_key string, Main_Text string")
+    out = html.extract(df)
+    assert out.columns == ["page_id", "url", "places", "host_key", "Main_Text", "text", "n_chars"]
+    assert sorted(r["text"] for r in out.collect()) == ["", "a", "a"]
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
