@@ -216,20 +216,41 @@ def test_vectors_equal_brute_force(spark):
 def test_gradients_equal_differences():
     draw = np.random.default_rng(6)
     m = {k: v.astype("float64") for k, v in attention.fresh(np.ones(attention.IDS)).items()}
-    m["U"] = draw.standard_normal(m["U"].shape) * 0.3
+    m["U"], m["G"] = draw.standard_normal(m["U"].shape) * 0.3, draw.standard_normal(m["G"].shape) * 0.3
     seq, bounds = draw.integers(0, attention.IDS, 90), np.array([0, 50, 90])
     inputs, padding, targets, owner = attention.windows(seq, bounds)
     assert (targets >= 0).sum() == 90 and list(np.bincount(owner)) == [2, 2]
     assert [t for t in targets.ravel() if t >= 0] == seq.tolist()
-    loss, g = attention.gradients(m, inputs, padding, targets)
+    every = attention.cut(seq, bounds, np.array([3, 60]), 2 * attention.SPAN)[:3]
+    assert sorted(t for t in every[2].ravel() if t >= 0) == sorted(seq.tolist())
+    loss, g = attention.gradients(m, *every)
     for k in m:
-        at = tuple(draw.integers(0, n) for n in m[k].shape) if k != "E" else (int(inputs[0, -1]), 3)
+        at = tuple(draw.integers(0, n) for n in m[k].shape) if k != "E" else (int(every[0][0, 5]), 3)
+        if k in "Uc":
+            at = (int(every[2][0, 5]) // attention.SIZE, *at[1:])
         up, down = ({**m, k: m[k].copy()} for _ in range(2))
         up[k][at] += 1e-4
         down[k][at] -= 1e-4
-        slope = (attention.gradients(up, inputs, padding, targets)[0] - attention.gradients(down, inputs, padding, targets)[0]) / 2e-4
+        slope = (attention.gradients(up, *every)[0] - attention.gradients(down, *every)[0]) / 2e-4
         assert slope == pytest.approx(float(g[k][at]), abs=2e-4)
-    assert -attention.log_probabilities(m, inputs, padding, targets).sum() / 90 == pytest.approx(loss, rel=1e-3)
+
+
+def test_scoring_equals_the_plain_model():
+    draw = np.random.default_rng(8)
+    m = attention.fresh(np.ones(attention.IDS))
+    m["U"], m["G"] = draw.standard_normal(m["U"].shape).astype("float32"), draw.standard_normal(m["G"].shape).astype("float32")
+    seq, bounds = draw.integers(0, attention.IDS, 150), np.array([0, 0, 100, 150])
+    inputs, padding, targets, owner = attention.windows(seq, bounds)
+    y = attention.forward(m, inputs, padding)["y"][:, attention.SPAN :]
+    group = y @ m["G"] + m["g"]
+    want = np.zeros(targets.shape)
+    for i, j in zip(*np.nonzero(targets >= 0)):
+        k, own = divmod(int(targets[i, j]), attention.SIZE)
+        inner = y[i, j] @ m["U"][k] + m["c"][k]
+        want[i, j] = group[i, j, k] - np.log(np.exp(group[i, j]).sum()) + inner[own] - np.log(np.exp(inner).sum())
+    assert attention.log_probabilities(m, inputs, padding, targets, batch=3) == pytest.approx(want, abs=1e-3)
+    total = sum(np.exp(attention.outputs(m, np.repeat(y[0, :1], attention.IDS, 0), np.arange(attention.IDS))).tolist())
+    assert total == pytest.approx(1, abs=1e-3)
 
 
 def test_attention_learns_what_came_before():
@@ -249,7 +270,7 @@ def test_scores_base_and_held_out(spark):
     langs = [[f"{p}{k}" for k in range(60)] for p in ("the", "der", "les")]
     rows = [(i, " ".join(draw.choice(langs[i % 3]) for _ in range(draw.randint(20, 120))), "s") for i in range(300)]
     rows += [(1000, None, "s"), (1001, "", "s"), (1002, "never seen anything", "s"), (None, "the1 the2", "s"), (1003, "The1 the2 x", "s"), (5, "the1", "s")]
-    out = lm.score_texts(docs(spark, rows), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, head=50, every=2).collect()
+    out = lm.score_texts(docs(spark, rows), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, head=50).collect()
     assert len(out) == len(rows)
     import zlib
 
@@ -278,7 +299,7 @@ def test_attention_learns_from_every_training_document(spark, monkeypatch):
     learned, averaged = [], lm.averaged
 
     def watched(sample, *rest):
-        learned.extend(len(r["ids"]) for r in sample.collect())
+        learned.extend(len(r["ids"]) // 2 + 1 for r in sample.collect())
         return averaged(sample, *rest)
 
     monkeypatch.setattr(lm, "averaged", watched)
@@ -293,3 +314,23 @@ def test_end_counts_outside_the_head(spark):
     rows = [(i, "aa bb cc " * 40, "s") for i in range(30)]
     score = lambda head: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.score_texts(docs(spark, rows), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, head=head, rounds=0).collect())
     assert score(3) == score(100)
+
+
+def test_scores_beat_the_base_on_held_out_documents(spark):
+    from inspectra.llm import queries
+
+    out = queries.op10_lm_scores(spark, "/root/testdata/sf0.1").where("held_out").toPandas()
+    assert out["score"].sum() > out["base_score"].sum() and (out["score"] > out["base_score"]).mean() > 0.75
+
+
+def test_spelling_is_a_distribution_and_knows_pairs():
+    keys = np.array([1 << 16 | 2, 1 << 16 | lm.NONE, 2 << 16 | lm.NONE])
+    before, after = np.zeros(lm.NONE + 1), np.zeros(lm.NONE + 1)
+    before[[1, 2]], after[[2, lm.NONE]] = [4, 3], [3, 4]
+    t = lm.Tables(np.full(10, 5.0), np.ones(10), 7, (keys, np.array([3, 1, 3])), before, after)
+    likely, rare = t.spelling(np.array([1, 2, 1, 3]), np.array([0, 2, 4]))
+    assert likely > rare and rare < 0
+    following = (np.isin(np.arange(lm.NONE + 1), [2, lm.NONE]) * np.where(np.arange(lm.NONE + 1) == 2, 3, 1) + lm.BACK * t.after) / (before[1] + lm.BACK)
+    assert following.sum() == pytest.approx(1)
+    one, two = lm.packed_rest(np.array([5, 6, 7, 8]), np.array([0, 3, 4]))
+    assert [int(one.view(np.uint64)[0]) >> 16 * j & 0xFFFF for j in range(4)] == [6, 7, lm.NONE, lm.NONE] and two.tolist() == [-1, -1] and one[1] == -1
