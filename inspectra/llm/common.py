@@ -50,9 +50,22 @@ def scratch(spark: SparkSession) -> str:
     return base
 
 
+#: Folders that keep has written and clear has not removed.
+KEPT: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what keep has written. Results that were not written yet read these tables, so call it after their write."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while KEPT:
+        path = hadoop(KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    KEPT.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

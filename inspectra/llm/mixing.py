@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, n_words, seeded, words
+from .common import BREAKS, keep, n_words, seeded
 
 WEIGHTS, SHARE, REPEATS, BLOCK, SHARD_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 32, 1 << 20, "mix"
 
@@ -101,13 +101,15 @@ def mix(
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **params) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy taken, and one for the words of a part.
 
-    A part holds the taken words from the text's beginning, joined by single spaces; its n_chars is counted anew.
+    A part holds the text from its beginning to the last word taken, white space and all; its n_chars is counted anew.
     """
     taken = mix(docs, doc_id, text, source, carry=tuple(docs.columns), **params)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.col("taken") - whole * F.col("size")
     rows = taken.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.array_join(F.slice(words(F.col("_in")[text]), 1, F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")
+    own = F.col("_in")[text]
+    pieces = F.split(own, BREAKS, (F.col("_part") + 1 + own.rlike(f"^{BREAKS}").cast("int")).cast("int"))  # the last one is what is not taken
+    cut = F.regexp_replace(F.substring(own, F.lit(1), F.length(own) - F.length(F.element_at(pieces, -1))), f"{BREAKS}$", "")
     now: dict[str, Column] = {c: F.col("_in")[c] for c in docs.columns}
     now[text] = F.when(F.col("_part") > 0, cut).otherwise(now[text])
     if n_chars in docs.columns:

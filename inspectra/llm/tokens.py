@@ -5,7 +5,9 @@ can cross, so counts add up - and the distinct pieces go to the library in batch
 pieces are remembered up to a fixed number, so a common word is encoded once per task.
 
 Defined cases: null or empty text counts 0 bytes and 0 tokens; a text without a safe boundary is encoded in one piece;
-strings of special tokens inside a text are handled as the library does by default.
+strings of special tokens inside a text are handled as the library does by default; repeated rows are counted row by row;
+an empty table gives an empty table; other columns of the input are kept, result columns replace those of the same name,
+no other name is taken.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Pieces that a task remembers, and bytes that go to the library at once.
 REMEMBERED, BATCH_BYTES = 400_000, 1_000_000
 #: White space next to a space: there a cut could part one pre-token.
@@ -33,6 +37,11 @@ def pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+def n_bytes(text: str) -> int:
+    """Bytes in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 class Counter:
     """Counts tokens with a tokenizers file; counts of pieces are kept, and forgotten all at once when too many."""
 
@@ -45,7 +54,7 @@ class Counter:
     def learn(self, new: list[str]) -> None:
         start = size = 0
         for i, x in enumerate(new):
-            size += len(x) + 8
+            size += n_bytes(x) + 8
             if size >= BATCH_BYTES or i + 1 == len(new):
                 batch = new[start : i + 1]
                 self.known.update(zip(batch, (len(e) for e in self.encode(batch, add_special_tokens=False))))
@@ -58,7 +67,7 @@ class Counter:
         size = 0
         for i, text in enumerate(texts):
             group.append(pieces(text) if text else [])
-            size += len(text)
+            size += n_bytes(text)
             if size >= 4 * BATCH_BYTES or i + 1 == len(texts):
                 if len(self.known) > REMEMBERED:
                     self.known.clear()
@@ -77,13 +86,14 @@ def token_counts(text: Column, path: str) -> Column:
         counter = Counter(path)
         for part in batches:
             texts = ["" if x is None else x for x in part]
-            yield pd.DataFrame({"n_bytes": [len(x.encode()) for x in texts], "n_tokens": counter.count(texts)}, dtype="int64")
+            yield pd.DataFrame({"n_bytes": [n_bytes(x) for x in texts], "n_tokens": counter.count(texts)}, dtype="int64")
 
     return counts(text)
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (replacing columns of those names)."""
-    names = ("n_bytes", "n_tokens", "over_limit")
-    out = docs.withColumn("_t", token_counts(F.col(text), path))
-    return out.select(*[c for c in docs.columns if c not in names], "_t.n_bytes", "_t.n_tokens", (F.col("_t.n_tokens") > limit).alias("over_limit"))
+    names, counts = ("n_bytes", "n_tokens", "over_limit"), unused(docs, "token_counts")
+    out = docs.withColumn(counts, token_counts(F.col(text), path))
+    n = F.col(counts)
+    return out.select(*[c for c in docs.columns if c.lower() not in names], n["n_bytes"].alias("n_bytes"), n["n_tokens"].alias("n_tokens"), (n["n_tokens"] > limit).alias("over_limit"))

@@ -7,7 +7,8 @@ rule, and a rule matches where all its tokens are found. Verdicts go back to the
 
 Defined cases: a null URL, or one without ://, has empty host and path, no tokens and the verdict allow; no labels, or
 no rule that passes, gives allow; repeated rows and URLs are judged alike; an empty table gives an empty table; other
-columns of the input are kept, result columns replace those of the same name.
+columns of the input are kept, result columns replace those of the same name, no other name is taken. A basket's tokens
+are those of one URL, so itemsets are as long as a URL has tokens at most.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, lower_ascii
+from .common import keep, lower_ascii, unused
 
 #: (verdict, host and path) of the stated rules.
 STATED = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -78,14 +79,14 @@ def filter_urls(pages: DataFrame, labels: DataFrame, url: str = "url", page_id:
     """pages with host, path, rule and verdict. labels: page_id and bad (boolean); null or missing labels teach nothing."""
     names = ("host", "path", "rule", "verdict")
     host, path = url_host(F.col(url)), url_path(F.col(url))
-    tokens = url_tokens(host, path)
-    known = labels.where("bad is not null").groupBy(F.col("page_id").alias(page_id)).agg(F.max("bad").alias("_bad"))
-    taught = pages.select(page_id, tokens.alias("_t")).where(F.size("_t") > 0).join(known, page_id)
-    baskets = taught.select(F.when(F.col("_bad"), F.array_append("_t", F.lit(BAD))).otherwise(F.col("_t")).alias("items"))
+    known = labels.where("bad is not null").groupBy(F.col("page_id").alias("id")).agg(F.max("bad").alias("bad"))
+    taught = pages.select(F.col(page_id).alias("id"), url_tokens(host, path).alias("tokens")).where(F.size("tokens") > 0).join(known, "id")
+    baskets = taught.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     mined = keep(mine_rules(baskets, min_support, min_confidence), "url-mined")
-    distinct = pages.select(F.col(url).alias("_url")).where(F.col(url).isNotNull()).distinct()
-    matched = match_rules(distinct.withColumn("_t", url_tokens(url_host(F.col("_url")), url_path(F.col("_url")))), "_url", "_t", mined)
+    distinct = pages.select(F.col(url).alias("url")).where("url is not null").distinct()
+    met, said_mined = unused(pages, "met_url"), unused(pages, "mined_verdict")
+    matched = match_rules(distinct.withColumn("tokens", url_tokens(url_host(F.col("url")), url_path(F.col("url")))), "url", "tokens", mined)
     rule, said = stated_rule(host, path, rules)
-    out = pages.join(matched.select("_url", F.lit("block").alias("_mined")), F.col(url) == F.col("_url"), "left")
-    verdict = F.coalesce(said, F.col("_mined"), F.lit("allow"))
-    return out.select(*[c for c in pages.columns if c not in names], host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+    out = pages.join(matched.select(F.col("url").alias(met), F.lit("block").alias(said_mined)), F.col(url) == F.col(met), "left")
+    verdict = F.coalesce(said, F.col(said_mined), F.lit("allow"))
+    return out.select(*[c for c in pages.columns if c.lower() not in names], host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))

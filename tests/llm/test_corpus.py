@@ -72,6 +72,33 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert words == +Counter(taken)
 
 
+def test_parts_keep_their_white_space(spark):
+    text = lambda i: "\n \n" * (i % 2) + "".join(f"w{i}x{k}{[' ', chr(10), '  ', chr(9)][k % 4]}" for k in range(300))
+    rows = [(i, text(i), "xy"[i % 2]) for i in range(8)]
+    parts = [r for r in mixing.mixed_rows(docs(spark, rows)).collect() if r["text"] != text(r["doc_id"])]
+    assert parts and all(text(r["doc_id"]).startswith(r["text"]) and r["text"][-1:].isdigit() and r["n_chars"] == len(r["text"]) for r in parts)
+
+
+def test_packing_equals_brute_force():
+    """Small cases against every way to fill bins in the same falling order, by cost."""
+    lengths = (4, 8, 16)
+
+    def best(rest, bins):
+        if not rest:
+            return sum(packing.cost(min(x for x in lengths if x >= b)) for b in bins)
+        size, tail = rest[0], rest[1:]
+        ways = [best(tail, [*bins[:i], b + size, *bins[i + 1 :]]) for i, b in enumerate(bins) if b + size <= lengths[-1]]
+        return min([best(tail, [*bins, size]), *ways])
+
+    draw = random.Random(12)
+    for _ in range(40):
+        sizes = sorted((draw.randint(1, 16) for _ in range(draw.randint(1, 6))), reverse=True)
+        cost, bins, final = packing.pack(sizes, lengths)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert cost == pytest.approx(sum(map(packing.cost, final))) and all(sum(sizes[i] for i in b) <= x for b, x in zip(bins, final))
+        assert best(sizes, []) - 1e-9 <= cost <= 1.25 * best(sizes, [])
+
+
 def test_packing_holds_every_word_once(spark):
     draw = random.Random(2)
     rows = [(i, "w " * draw.choice([0, 1, 5, 90, 400, 3000, 20000]), "a") for i in range(200)] + [(500, None, "a"), (None, "x y", "b"), (7, "again", "a")]

@@ -272,3 +272,17 @@ def test_token_counts_equal_the_library(spark):
         assert got[i]["n_bytes"] == len(t.encode()) and got[i]["over_limit"] == (got[i]["n_tokens"] > 512)
     assert got[99]["n_tokens"] == 0
     assert "".join(tokens.pieces(texts[2])) == texts[2]
+
+
+def test_columns_named_like_our_own(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(1, "http://a.com/x", "plain text", 5, 6, 7)] * 2, "page_id long, url string, text string, _t int, met_url int, Token_Counts int")
+    labels = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    out = urls.filter_urls(df, labels)
+    assert out.columns[:6] == df.columns and [r["met_url"] for r in out.collect()] == [6, 6]
+    counted = tokens.count_tokens(df, public_tokenizers.path("byte_bpe_50k.json"))
+    assert counted.columns[:6] == df.columns and [(r["_t"], r["Token_Counts"], r["n_tokens"]) for r in counted.collect()] == [(5, 7, 2)] * 2
+    assert tokens.count_tokens(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    clash = spark.createDataFrame([(1, "http://a.com/x", "u", "t")], "page_id long, _url string, url string, tokens string")
+    assert urls.filter_urls(clash, labels).count() == 1
