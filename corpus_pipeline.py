@@ -1,6 +1,11 @@
 """A corpus from documents: quality rules, near duplicates out, sources mixed, sequences packed.
 
 Each stage works on all rows that the stage before kept and is written as Parquet before the next one reads it.
+
+Defined cases, for every stage: null, empty and blank texts fail the quality rules; repeated rows are judged alike and
+become one in the second stage, the one whose other columns come first as JSON; texts that share an id, or have none, are
+documents of their own; an empty table passes through; columns besides those of documents are kept up to the last stage,
+which returns places in sequences; columns named like those of a stage's own keep their values.
 """
 
 from __future__ import annotations
@@ -9,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.llm import jaccard, mixing, packing, quality
-from inspectra.llm.common import keep, table
+from inspectra.llm.common import keep, table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the host-level rules keep."""
-    return quality.judge(docs.withColumn("_own", F.struct(*docs.columns))).where("kept").select("_own.*")
+    own = unused(docs, "own")
+    return quality.judge(docs.withColumn(own, F.struct(*docs.columns))).where("kept").select(f"{own}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +28,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document is an id with a text: texts that share an id, or have none, are documents of their own, equal ones are one.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    parts = jaccard.jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    named = keep(parts.join(rows.select("_row", "doc_id").distinct(), "_row"), "pipeline-parts")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
-    first = named.groupBy("component_id").agg(least.alias("_first"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
-    gone = keep(named.join(first, "component_id").where("_row <> _first").select("_row"), "pipeline-gone")
-    return rows.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
+    row = unused(docs, "row_key")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    ids = rows.select(F.col(row).alias("row"), "doc_id", "text")
+    parts = jaccard.jaccard_components(ids, "row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    named = keep(parts.join(ids.select("row", "doc_id").distinct(), "row"), "pipeline-parts")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    first = named.groupBy("component_id").agg(least.alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    gone = keep(named.join(first, "component_id").where("row <> first").select(F.col("row").alias(row)), "pipeline-gone")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c.lower() != "text"]))
+    return rows.join(gone, row, "left_anti").groupBy(row).agg(F.min_by(F.struct(*docs.columns), others).alias("kept_row")).select("kept_row.*")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
