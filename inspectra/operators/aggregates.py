@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.variants import text_at, tolerant_number
 from .joins import apply_model
+from .windows import counted_before
 
 
 def class_distribution(df: DataFrame, cls: str) -> DataFrame:
@@ -105,24 +108,42 @@ def benchmark_metrics(reports: DataFrame, report: str) -> DataFrame:
         text_at(v, "$.created_at", "$.generated_at").alias("generated_at"), F.try_variant_get(b, "$.provider", "string").alias("selected_provider"), tolerant_number(b, "$.batch_size").alias("selected_batch_size"))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str] | None = None) -> DataFrame:
+    """A row per group (or one) with an interpolated quantile for every name; exact, of counts of distinct values that
+    range partitions hold, so that no buffer keeps a group's values."""
+    by = group or []
+    each = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counted_before(each, ["_x"], "_n", "_before", by)
+    total = placed.groupBy(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)]).agg(F.sum("_n").alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)], F.lit(True))
+    met = placed.join(total, same)
+    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_x")))
+    out = {}
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(share)
+        out[name] = (at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place)))
+    agg = met.groupBy(*by).agg(*[c.alias(f"{name}_{i}") for name, cs in out.items() for i, c in enumerate(cs)])
+    return agg.select(*by, *[(F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * F.col(f"{n}_2")).alias(n) for n in shares])
+
+
 def latency_summary(df: DataFrame, group: str, ms: str, batch: Column | None = None) -> DataFrame:
     """Per group: mean, interpolated p50, p95 and p99, throughput for the batch size, fps for batches of 1 only."""
     size = F.lit(1) if batch is None else batch
-    p = F.percentile(F.col(ms), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean_ms"), p.alias("_p"), F.max(size).alias("batch_size"))
+    means = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean_ms"), F.max(size).alias("batch_size"))
+    p = quantiles(df, ms, {f"p{q}_ms": q / 100 for q in (50, 95, 99)}, [group])
+    out = means.join(p, F.col("_group").eqNullSafe(F.col(group)), "left")
     rate = F.when(F.col("mean_ms") > 0, 1000 * F.col("batch_size") / F.col("mean_ms"))
-    return out.select(group, "n", "mean_ms", *[F.col("_p")[i].alias(f"p{q}_ms") for i, q in enumerate((50, 95, 99))], rate.alias("throughput"), F.when(F.col("batch_size") == 1, rate).alias("fps"))
+    return out.select(F.col("_group").alias(group), "n", "mean_ms", "p50_ms", "p95_ms", "p99_ms", rate.alias("throughput"), F.when(F.col("batch_size") == 1, rate).alias("fps"))
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row `value`: the element at half-even rounded (n - 1) q of the sorted values, 3 decimals, 0 without any.
 
-    Works on counts of distinct values, so equal values and large inputs cost little.
+    Works on counts of distinct values in range partitions.
     """
     each = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     total = each.agg(F.sum("n").alias("t"))
-    met = each.withColumn("upto", upto).join(F.broadcast(total), F.lit(True)).where(F.col("upto") > F.bround((F.col("t") - 1) * q))
+    met = counted_before(each, ["x"], "n").join(F.broadcast(total), F.lit(True)).where(F.col("before") + F.col("n") > F.bround((F.col("t") - 1) * q))
     return met.agg(F.coalesce(F.round(F.min("x"), 3), F.lit(0.0)).alias("value"))
 
 
@@ -136,11 +157,10 @@ def run_summary(df: DataFrame, ok: Column, status: str, review: Column, repeat:
 
 
 def mid_ranks(df: DataFrame, score: str, group: list[str] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct scores with n, sums and mid_rank. Ranks need one order per group; it holds distinct scores only."""
+    """Distinct scores (per group) with n, sums and mid_rank; ranks are counted in range partitions."""
     by = group or []
     each = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in (sums or {}).items()])
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("mid_rank", before + (F.col("n") + 1) / 2)
+    return counted_before(each, [score], "n", "_before", by).withColumn("mid_rank", F.col("_before") + (F.col("n") + 1) / 2).drop("_before")
 
 
 def auroc(df: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
@@ -180,9 +200,9 @@ def anomaly_scores(long_df: DataFrame, model: DataFrame, id: str, pos: str, chan
 
 def thresholds(scores: DataFrame, positions: DataFrame, image_q: float, position_q: float, accuracy: int | None = None) -> DataFrame:
     """One row: image_threshold and position_threshold, interpolated quantiles; with accuracy, an approximate one for
-    positions, of bounded memory."""
-    deep = F.percentile_approx("score", position_q, accuracy) if accuracy else F.percentile("score", position_q)
-    return scores.agg(F.percentile("score", image_q).alias("image_threshold")).join(positions.agg(deep.alias("position_threshold")), F.lit(True))
+    positions, in one pass."""
+    deep = positions.agg(F.percentile_approx("score", position_q, accuracy).alias("position_threshold")) if accuracy else quantiles(positions, "score", {"position_threshold": position_q})
+    return quantiles(scores, "score", {"image_threshold": image_q}).join(deep, F.lit(True))
 
 
 def evaluate(scores: DataFrame, label: str, score: str, threshold: float) -> DataFrame:

@@ -62,15 +62,18 @@ def scan_label_lines(df: DataFrame, text: str) -> DataFrame:
     return df.select("*", F.posexplode(lines).alias("_at", "value")).withColumn("line", F.col("_at") + 1).drop("_at")
 
 
-def _label_fields(text: Column) -> dict[str, Column]:
-    parts = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    part = lambda i: F.get(parts, i)
-    whole = F.when(part(0).rlike(r"^[+-]?\d+$"), part(0).try_cast("long"))
-    number = lambda i: F.coalesce(part(i).try_cast("double"), F.when(F.lower(part(i)).isin("+nan", "-nan"), F.lit(float("nan"))))
-    return {"n": F.size(parts), "class_id": whole} | {k: number(i + 1) for i, k in enumerate(("cx", "cy", "w", "h"))}
-
-
-def _label_tests(f: dict[str, Column], n_classes: int) -> tuple[Column, Column, Column]:
+def _with_fields(lines: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """lines with a column of the parsed label line (n, class_id, cx, cy, w, h), and its name; each line is cut up once."""
+    cut, fields = (next(n for k in range(99) if (n := f"_{x}{k}") not in lines.columns) for x in ("cut", "fields"))
+    parts = F.col(cut)
+    whole = F.when(F.get(parts, 0).rlike(r"^[+-]?\d+$"), F.get(parts, 0).try_cast("long"))
+    number = lambda i: F.coalesce(F.get(parts, i).try_cast("double"), F.when(F.lower(F.get(parts, i)).isin("+nan", "-nan"), F.lit(float("nan"))))
+    parsed = F.struct(F.size(parts).alias("n"), whole.alias("class_id"), *[number(i + 1).alias(k) for i, k in enumerate(("cx", "cy", "w", "h"))])
+    ready = lines.withColumn(cut, F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), r"\s+")).withColumn(fields, parsed)
+    return ready.drop(cut), fields
+
+
+def _label_tests(f: Column, n_classes: int) -> tuple[Column, Column, Column]:
     """(malformed, class out of range, box out of bounds); comparisons with NaN are false."""
     numbers = [f[k] for k in ("cx", "cy", "w", "h")]
     malformed = (f["n"] != 5) | f["class_id"].isNull() | reduce(lambda a, b: a | b, [x.isNull() for x in numbers])
@@ -86,19 +89,21 @@ def label_issues(lines: DataFrame, text: str, width: str, height: str, n_classes
 
     tiny: least width, height and area in pixels. A class out of range does not stop a line, a box out of bounds does.
     """
-    f = _label_fields(F.col(text))
+    parsed, name = _with_fields(lines, text)
+    f = F.col(name)
     bad, klass, out = _label_tests(f, n_classes)
     wide, high = f["w"] * F.col(width), f["h"] * F.col(height)
     small = (wide < tiny[0]) | (high < tiny[1]) | (wide * high < tiny[2])
     issues = F.when(bad, F.array(F.lit("MALFORMED_ANNOTATION"))).otherwise(_present((klass, "INVALID_CLASS"), (out, "OUT_OF_BOUNDS_BOX"), (~out & small, "TINY_BOX")))
-    return lines.withColumn("class_id", f["class_id"]).withColumn("issues", issues).withColumn("counted", ~bad & ~klass)
+    return parsed.withColumns({"class_id": f["class_id"], "issues": issues, "counted": ~bad & ~klass}).drop(name)
 
 
 def validate_labels(lines: DataFrame, text: str, n_classes: int) -> DataFrame:
     """lines with error: the first of MALFORMED_LABEL, INVALID_CLASS and OUT_OF_BOUNDS_BOX, null for a valid line."""
-    f = _label_fields(F.col(text))
+    parsed, name = _with_fields(lines, text)
+    f = F.col(name)
     bad, klass, out = _label_tests(f, n_classes)
-    return lines.withColumn("class_id", f["class_id"]).withColumn("error", F.when(bad, "MALFORMED_LABEL").when(klass, "INVALID_CLASS").when(out, "OUT_OF_BOUNDS_BOX"))
+    return parsed.withColumns({"class_id": f["class_id"], "error": F.when(bad, "MALFORMED_LABEL").when(klass, "INVALID_CLASS").when(out, "OUT_OF_BOUNDS_BOX")}).drop(name)
 
 
 def voc_issues(objects: DataFrame, known: DataFrame, classes: tuple[str, ...]) -> DataFrame:

@@ -29,12 +29,13 @@ def pair_by_stem(images: DataFrame, annotations: DataFrame, stem: str) -> DataFr
 
 
 def exact_leakage(df: DataFrame, id: str, hash: str, split: str) -> DataFrame:
-    """A row per pair of rows with equal hashes in different splits, the smaller id first.
-
-    A hash that many rows share gives that many pairs; hash_groups gives one row per group instead.
+    """The rows whose hash is in several splits: first_id, the smallest id of the hash (the class), and links, how many
+    rows of other splits have the same hash. Linear in the rows: copies are not expanded into pairs.
     """
-    a, b = (df.select(F.col(hash).alias("hash"), F.col(id).alias(f"{x}_id"), F.col(split).alias(f"{x}_split")) for x in ("first", "second"))
-    return a.join(b, "hash").where((F.col("first_id") < F.col("second_id")) & (F.col("first_split") != F.col("second_split")))
+    each = df.groupBy(hash, split).agg(F.count(F.lit(1)).alias("here"), F.min(id).alias("first_id"))
+    whole = each.groupBy(hash).agg(F.sum("here").alias("all"), F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("splits")).where("splits > 1")
+    leaks = each.select(hash, split, "here").join(whole, hash).select(hash, split, "first_id", (F.col("all") - F.col("here")).alias("links"))
+    return df.join(leaks, [hash, split])
 
 
 def split_hash_leakage(train: DataFrame, val: DataFrame, name: str, hash: str) -> DataFrame:
@@ -73,27 +74,27 @@ def near_leakage(df: DataFrame, id: str, hash64: str, content_hash: str, split:
 def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: str, order: list[str], threshold: float = 0.5) -> DataFrame:
     """Greedy matching in truth order, blind to class, the first best prediction winning; a row per outcome.
 
-    outcome: hit, class_error, missed (no prediction with IoU of at least the threshold left) or false_positive; at is the
+    Only pairs of at least the threshold go into an image's greedy pass. outcome: hit, class_error, missed (no prediction with IoU of at least the threshold left) or false_positive; at is the
     1-based place of the truth, or of the prediction for a false positive. Images without truth rows are skipped.
     """
-    side = lambda df: df.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, box, cls))), lambda x: F.struct(x[box].alias("box"), x[cls].cast("string").alias("cls"))).alias("rows"))
-    met = side(truth).withColumnRenamed("rows", "truth").join(side(pred).withColumnRenamed("rows", "pred"), image, "left")
-    met = met.withColumn("pred", F.coalesce("pred", F.array().cast(met.schema["pred"].dataType)))
-
-    def step(state: Column, t: Column) -> Column:
-        rated = F.transform(F.col("pred"), lambda p, i: F.struct(F.when(F.array_contains(state["used"], i), -1.0).otherwise(iou(t["box"], p["box"])).alias("iou"), (-i).alias("i"), p["cls"].alias("cls")))
-        best = F.array_max(rated)
-        hit = F.coalesce(best["iou"] >= threshold, F.lit(False))
-        outcome = F.when(~hit, "missed").when(best["cls"] == t["cls"], "hit").otherwise("class_error")
-        used = F.when(hit, F.array_append(state["used"], -best["i"])).otherwise(state["used"])
-        return F.struct(used.alias("used"), F.array_append(state["outcomes"], outcome).alias("outcomes"))
-
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("outcomes"))
-    done = met.withColumn("_m", F.aggregate("truth", start, step))
-    hits = done.select(image, F.posexplode("_m.outcomes").alias("_at", "outcome"))
-    left = done.select(image, F.posexplode("pred").alias("_at", "_p"), "_m").where(~F.array_contains("_m.used", F.col("_at")))
-    extra = left.select(image, "_at", F.lit("false_positive").alias("outcome"))
-    return hits.unionByName(extra).withColumn("at", F.col("_at") + 1).drop("_at")
+    w = Window.partitionBy(image).orderBy(*order)
+    placed = lambda df: df.select(image, F.row_number().over(w).alias("at"), F.col(box).alias("box"), F.col(cls).cast("string").alias("cls"))
+    t, p = placed(truth), placed(pred)
+    met = t.toDF(image, "t", "t_box", "t_cls").join(p.toDF(image, "p", "p_box", "p_cls"), image)
+    rated = met.select(image, "t", "p", (F.col("t_cls") == F.col("p_cls")).alias("same"), iou(F.col("t_box"), F.col("p_box")).alias("iou")).where(F.col("iou") >= threshold)
+    offers = rated.groupBy(image, "t").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "p", F.coalesce("same", F.lit(False)).alias("same")))).alias("offers"))
+    lists = offers.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("t", "offers"))).alias("lists"))
+    taken = "array<struct<t: int, p: int, same: boolean>>"
+
+    def step(done: Column, x: Column) -> Column:
+        free = F.filter(x["offers"], lambda o: ~F.exists(done, lambda d: d["p"] == o["p"]))
+        return F.when(F.size(free) > 0, F.array_append(done, F.struct(x["t"].alias("t"), F.get(free, 0)["p"].alias("p"), F.get(free, 0)["same"].alias("same")))).otherwise(done)
+
+    pairs = lists.select(image, F.explode(F.aggregate("lists", F.array().cast(taken), step)).alias("m")).select(image, "m.t", "m.p", "m.same")
+    outcome = F.when(F.col("same").isNull(), "missed").when(F.col("same"), "hit").otherwise("class_error")
+    hits = t.withColumnRenamed("at", "t").join(pairs.select(image, "t", "same"), [image, "t"], "left").select(image, F.col("t").alias("at"), outcome.alias("outcome"))
+    seen = p.join(truth.select(image).distinct(), image, "left_semi").join(pairs.select(image, F.col("p").alias("at")), [image, "at"], "left_anti")
+    return hits.unionByName(seen.select(image, "at", F.lit("false_positive").alias("outcome")))
 
 
 def review_detail(reviews: DataFrame, inspections: DataFrame, logs: DataFrame) -> DataFrame:

@@ -36,12 +36,18 @@ def _seeded(seed: int, id: str) -> Column:
 def stratified_split(df: DataFrame, id: str, cls: str, ratios: tuple[float, float] = (0.7, 0.2), seed: int = 42) -> DataFrame:
     """df with split: exact half-even counts of train and val per class, the rest test, in a seeded order.
 
-    The membership is a function of seed and ids; it is not that of any library's shuffle. One sort per class.
+    The membership is a function of seed and ids; it is not that of any library's shuffle. A class is placed by counts of
+    its hash prefixes, so no task sorts a whole class.
     """
+    h = df.withColumn("_h", _seeded(seed, id)).withColumn("_p", F.substring("_h", 1, 4))
     w = Window.partitionBy(cls)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(_seeded(seed, id), id))
-    train, val = F.bround(n * ratios[0]), F.bround(n * ratios[1])
-    return df.withColumn("split", F.when(at <= train, "train").when(at <= train + val, "val").otherwise("test"))
+    counts = h.groupBy(cls, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    upto, n = F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_c").over(w)
+    placed = counts.select(F.col(cls).alias("_k"), F.col("_p").alias("_q"), (upto - F.col("_c")).alias("_before"), F.bround(n * ratios[0]).alias("_train"), F.bround(n * ratios[1]).alias("_val"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(cls, "_p").orderBy("_h", id))
+    met = h.join(placed, F.col(cls).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
+    split = F.when(at <= F.col("_train"), "train").when(at <= F.col("_train") + F.col("_val"), "val").otherwise("test")
+    return met.withColumn("split", split).drop("_h", "_p", "_k", "_q", "_before", "_train", "_val")
 
 
 def align_duplicates(df: DataFrame, id: str, hash: str, split: str) -> DataFrame:
@@ -75,15 +81,16 @@ def top_k_per_class(df: DataFrame, cls: str, order: list, k: int) -> DataFrame:
 def nms(df: DataFrame, image: str, box: str, conf: str, order: list[str], threshold: float = 0.5, least: float | None = None) -> DataFrame:
     """Greedy non-maximum suppression per image, across classes: rows kept, by falling confidence then order.
 
-    least: scores must be above it (one exactly at it is dropped). An image's boxes are one bounded array.
+    least: scores must be above it (one exactly at it is dropped). Only overlapping pairs go into an image's greedy pass.
     """
     rows = df if least is None else df.where(F.col(conf) > least)
-    one = F.struct((-F.col(conf)).alias("_minus"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("row"))
-    ranked = rows.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["row"]).alias("_rows"))
-    kind = ranked.schema["_rows"].dataType
-    clear = lambda kept, x: ~F.exists(kept, lambda k: iou(k[box], x[box]) > threshold)
-    kept = F.aggregate("_rows", F.array().cast(kind), lambda kept, x: F.when(clear(kept, x), F.array_append(kept, x)).otherwise(kept))
-    return ranked.select(F.explode(kept).alias("_r")).select("_r.*")
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(conf), *order)))
+    side = lambda x: placed.select(image, F.col("_at").alias(x), F.col(box).alias(f"{x}_box"))
+    over = side("_i").join(side("_j"), image).where((F.col("_i") < F.col("_j")) & (iou(F.col("_i_box"), F.col("_j_box")) > threshold))
+    lists = over.groupBy(image, "_j").agg(F.collect_list("_i").alias("before")).groupBy(image).agg(F.array_sort(F.collect_list(F.struct("_j", "before"))).alias("lists"))
+    stays = lambda gone, x: F.exists(x["before"], lambda i: ~F.array_contains(gone, i))
+    gone = lists.select(image, F.explode(F.aggregate("lists", F.array().cast("array<int>"), lambda gone, x: F.when(stays(gone, x), F.array_append(gone, x["_j"])).otherwise(gone))).alias("_at"))
+    return placed.join(gone, [image, "_at"], "left_anti").select(*df.columns)
 
 
 def number_regions(df: DataFrame, image: str, order: list) -> DataFrame:
@@ -112,6 +119,26 @@ def numbered(df: DataFrame, order: list[str], at: str = "at") -> DataFrame:
     return local.join(before, "_p").withColumn(at, F.col("_b") + F.col("_n") - 1).drop("_p", "_n", "_b")
 
 
+def counted_before(counts: DataFrame, order: list[str], n: str, before: str = "before", group: list[str] | None = None) -> DataFrame:
+    """counts (distinct rows of group and order, with a count n) with the sum of n over the rows before, in their group.
+
+    Range partitions are summed apart and offset by the sums before them, so no task holds a group's order.
+    """
+    by = group or []
+    line = [*by, *order]
+    parts = counts.repartitionByRange(*line).withColumn("_p", F.spark_partition_id())
+    upto = F.sum(n).over(Window.partitionBy("_p").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    local = parts.withColumn("_l", upto)
+    ends = local.groupBy("_p").agg(F.sum(n).alias("_c"))
+    ahead = ends.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_b"))
+    placed = local.join(ahead, "_p").withColumn(before, F.col("_b") + F.col("_l")).drop("_p", "_l", "_b")
+    if not by:
+        return placed
+    first = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min(before).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    return placed.join(first, reduce(lambda a, b: a & b, same)).withColumn(before, F.col(before) - F.col("_first")).drop("_first", *[f"_g{i}" for i in range(len(by))])
+
+
 def decimate(df: DataFrame, order: list[str], max_rows: int) -> DataFrame:
     """Every step-th row of the order, with the smallest step that leaves max_rows at most; a sampling operator."""
     step = F.greatest(F.ceil(F.col("_total") / max_rows), F.lit(1))

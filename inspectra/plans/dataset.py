@@ -79,9 +79,9 @@ def distinct_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return W.distinct_pairs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_linenumber").cast("long").alias("b")), "a", "b")
 
 
-@query(f"WITH {DOCUMENTS} SELECT a.doc_id AS first_id, b.doc_id AS second_id, a.split AS first_split, b.split AS second_split FROM images a JOIN images b ON a.hash = b.hash AND a.doc_id < b.doc_id AND a.split <> b.split")
+@query(f"WITH {DOCUMENTS} SELECT * FROM (SELECT doc_id, split, min(doc_id) OVER h AS first_id, count(*) OVER h - count(*) OVER (PARTITION BY hash, split) AS links FROM images WINDOW h AS (PARTITION BY hash)) WHERE links > 0")
 def exact_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    return J.exact_leakage(documents(spark, sf), "doc_id", "hash", "split").drop("hash")
+    return J.exact_leakage(documents(spark, sf).select("doc_id", "hash", "split"), "doc_id", "hash", "split").select("doc_id", "split", "first_id", "links")
 
 
 @query(f"WITH {DOCUMENTS} SELECT t.doc_id AS train_name, v.name AS val_name FROM images t JOIN (SELECT hash, max(doc_id) AS name FROM images WHERE split = 'val' GROUP BY 1) v USING (hash) WHERE t.split = 'train'")
