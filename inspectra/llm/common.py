@@ -54,12 +54,13 @@ def scratch(spark: SparkSession) -> str:
 KEPT: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove what keep has written. Results that were not written yet read these tables, so call it after their write."""
+def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove what keep has written, or some of it. Results not written yet read these tables, so call it after their write."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while KEPT:
-        path = hadoop(KEPT.pop())
+    for name in list(KEPT if paths is None else paths):
+        path = hadoop(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        KEPT.remove(name)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:

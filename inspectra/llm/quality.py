@@ -110,14 +110,15 @@ def host_verdicts(failures: DataFrame, host: str, rules: list[str], probability:
 def judge(docs: DataFrame, text: str = "text", host: str = "source", probability: float = PROBABILITY, lift: float = LIFT, keep_text: bool = True) -> DataFrame:
     """docs with the measures, n_failed (soft rules), base_failed, host_bad (for any rule) and kept.
 
-    Texts are measured once and the measured rows written, with the text only if keep_text. The verdicts are written too
-    and join by a plain equi-join: Spark broadcasts them while their table is small and splits a hot host when it is not.
+    Without keep_text the measures are written once, without the text. With it the texts are measured twice, for the counts
+    by host and for the verdicts, so that no text is written or shuffled. The verdicts are written and join by a plain
+    equi-join: Spark broadcasts them while their table is small and splits a hot host when it is not.
     """
     small_batches(docs.sparkSession)
     m, key, said = (unused(docs, x) for x in ("measured", "host_key", "verdicts"))
     names = list(soft_rules(F.col(m)))
     measured = docs.withColumn(m, measures(F.col(text))).withColumn(key, host_key(host))
-    measured = keep(measured if keep_text else measured.drop(text), "quality-measured")
+    measured = measured if keep_text else keep(measured.drop(text), "quality-measured")
     flagged = measured.select(F.col(key).alias("host"), *[c.alias(r) for r, c in soft_rules(F.col(m)).items()])
     verdicts = host_verdicts(flagged, "host", names, probability, lift)
     verdicts = keep(verdicts.select(F.col("host").alias(key), F.struct(*[f"bad_{r}" for r in names]).alias(said)), "quality-hosts")
