@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.llm import jaccard, mixing, packing, quality
-from inspectra.llm.common import keep, table, unused
+from inspectra.llm.common import KEPT, clear, keep, table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the host-level rules keep."""
-    own = unused(docs, "own")
-    return quality.judge(docs.withColumn(own, F.struct(*docs.columns))).where("kept").select(f"{own}.*")
+    return quality.judge(docs.select(F.struct(*docs.columns).alias("own")), "own.text", "own.source").where("kept").select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        done = len(KEPT)
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, KEPT[done:-1])  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
