@@ -29,13 +29,17 @@ def issue_summary(issues: DataFrame, code: str, codes: tuple[str, ...]) -> DataF
     return issues.agg(F.count(F.lit(1)).alias("issue_count"), *[F.count_if(c == x).alias(x.lower()) for x in codes], F.count_if(c.isin(*INVALID_ANNOTATION)).alias("invalid_annotation_count"))
 
 
+def resolutions(df: DataFrame, w: str, h: str) -> DataFrame:
+    """A row per resolution: width, height and n."""
+    return df.groupBy(F.col(w).alias("width"), F.col(h).alias("height")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def size_statistics(df: DataFrame, w: str, h: str) -> DataFrame:
-    """One row: count, min, max and mean (2 decimals) of both sizes, and the most common resolutions as a map."""
-    at = df.groupBy(w, h).agg(F.count(F.lit(1)).alias("n"))
-    sums = [f(c).alias(f"{x}_{n}") for c, x in ((w, "width"), (h, "height")) for n, f in (("min", F.min), ("max", F.max))]
+    """One row: count, min, max and mean (2 decimals) of both sizes, and how many resolutions there are (see resolutions)."""
+    at = resolutions(df, w, h)
+    ends = [f(c).alias(f"{c}_{n}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))]
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 2)
-    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("x", w, h), "n"))))
-    return at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *sums, mean(w).alias("width_mean"), mean(h).alias("height_mean"), held.alias("resolutions"))
+    return at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), *ends, mean("width").alias("width_mean"), mean("height").alias("height_mean"), F.count(F.lit(1)).alias("resolutions"))
 
 
 def raw_set_summary(images: DataFrame, annotations: DataFrame, w: str = "width", h: str = "height", bad: str = "error") -> DataFrame:
@@ -45,6 +49,14 @@ def raw_set_summary(images: DataFrame, annotations: DataFrame, w: str = "width",
     return a.join(b, F.lit(True))
 
 
+def raw_set_details(images: DataFrame, annotations: DataFrame, path: str, name: str, w: str = "width", h: str = "height", bad: str = "error") -> DataFrame:
+    """The lists behind raw_set_summary, a row each: kind (width, height, corrupt or invalid), value and n."""
+    good = images.where(F.col(w) >= 0)
+    count = lambda df, kind, c: df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    parts = [count(good, "width", w), count(good, "height", h), count(images.where(F.col(w) < 0), "corrupt", path), count(annotations.where(F.col(bad).isNotNull()), "invalid", name)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def overview(inspections: DataFrame, day: str, ts: str, status: str, reasons: str, latency: str, cls: str) -> DataFrame:
     """One row for a day: counts, rates and mean latency; class counts of all days as `distribution`.
 
@@ -230,9 +242,23 @@ def dataset_manifest(images: DataFrame, masks: DataFrame, group: str, label: str
     return a.join(sizes, group).join(m, group, "left").na.fill(0, ["masks"])
 
 
-def error_tally(matches: DataFrame, outcome: str = "outcome") -> DataFrame:
-    """Errors by type and in total (type null)."""
-    return matches.where(F.col(outcome) != "hit").rollup(outcome).agg(F.count(F.lit(1)).alias("n"))
+def manifest_details(images: DataFrame, group: str, path: str, size: str, hash: str, bad: Column) -> DataFrame:
+    """The lists behind dataset_manifest, a row each: group, kind (corrupt, hash or size), name and value (hash or count)."""
+    corrupt = images.where(bad).select(group, F.lit("corrupt").alias("kind"), F.col(path).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+    hashes = images.select(group, F.lit("hash").alias("kind"), F.col(path).cast("string").alias("name"), F.col(hash).cast("string").alias("value"))
+    sizes = images.where(~bad).groupBy(group, size).agg(F.count(F.lit(1)).alias("n")).select(group, F.lit("size").alias("kind"), F.col(size).cast("string").alias("name"), F.col("n").cast("string").alias("value"))
+    return corrupt.unionByName(hashes).unionByName(sizes)
+
+
+def error_tally(matches: DataFrame, outcome: str = "outcome", by: list[str] | None = None) -> DataFrame:
+    """Errors by type and in total (type null); with `by`, by these columns (such as the image) and type."""
+    errors = matches.where(F.col(outcome) != "hit")
+    return (errors.groupBy(*by, outcome) if by else errors.rollup(outcome)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_items(matches: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """Every single error: the place in its image and its type."""
+    return matches.where(F.col(outcome) != "hit")
 
 
 def state_counts(df: DataFrame, state: str) -> DataFrame:

@@ -52,7 +52,7 @@ def near_duplicates(df: DataFrame, id: str, hash64: str, content_hash: str, t: i
     Equal rows (hash and content) are joined once and multiplied at the end, so a hot image costs its own size.
     """
     starts = [i * bits // (t + 1) for i in range(t + 2)]
-    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(hash64), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
+    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("h"), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
     kinds = df.select(F.col(hash64).alias("h"), F.col(content_hash).alias("c")).distinct()
     cut = kinds.select("h", "c", F.explode(F.array(*bands)).alias("b")).select("h", "c", "b.band", "b.value")
     a, b = cut.toDF("h1", "c1", "band", "value"), cut.toDF("h2", "c2", "band", "value")

@@ -38,7 +38,7 @@ def finalize_reviews(reviews: DataFrame, actions: DataFrame) -> tuple[DataFrame,
 def make_feedback(reviews: DataFrame, inspections: DataFrame, id: str = "inspection_id") -> DataFrame:
     """A pending sample per corrected review: its label, else the predicted class, else `unknown`; its boxes, else the
     inspection's regions. reviews: review_id, inspection id, status, corrected_label, corrected_boxes."""
-    met = reviews.where("status = 'corrected'").join(inspections.select(id, "predicted_class", "regions"), id)
+    met = reviews.where("status = 'corrected'").drop("predicted_class", "regions").join(inspections.select(id, "predicted_class", "regions"), id)
     label = F.coalesce(F.nullif("corrected_label", F.lit("")), "predicted_class", F.lit("unknown"))
     return met.select("review_id", id, label.alias("label"), F.coalesce("corrected_boxes", "regions").alias("boxes"), F.lit("pending").alias("export_status"))
 

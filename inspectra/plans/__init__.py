@@ -1,6 +1,6 @@
 """Composed queries over the business tables and their SQL twins."""
 
-from . import dataset, inspection
+from . import dataset, inspection, jobs
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dataset", "inspection"]
+__all__ = ["ORACLES", "QUERIES", "dataset", "inspection", "jobs"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +17,7 @@ from ..operators import windows as W
 from ..sources import files, sinks
 from ..streaming import feeds as R
 from .registry import query
-from .standins import ACTIONS, BOXES, DOCUMENTS, MODELS, ORDER, VECTORS, actions, boxes, documents, models, table, vectors
+from .standins import ACTIONS, BOXES, DOCUMENTS, MODELS, ORDER, VECTORS, actions, boxes, documents, models, shared_folder, table, vectors
 
 
 @query(f"WITH {DOCUMENTS} SELECT i.doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING_ANNOTATION' WHEN l.e THEN 'EMPTY_ANNOTATION' END AS annotation FROM images i LEFT JOIN (SELECT doc_id, bool_and(quality = 0) AS e FROM labels GROUP BY 1) l USING (doc_id)")
@@ -100,22 +98,29 @@ def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return A.hash_groups(documents(spark, sf), "doc_id", "hash", "split")
 
 
-HASHED = """hashed AS (SELECT vec_id, label, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN (1::HUGEINT << (63 - i)) ELSE 0 END))::BIGINT AS h FROM embeddings)"""
+#: Vectors, and each again with one element turned round: neighbours within two bits.
+HASHED = """rows AS (SELECT vec_id, label, embedding AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, 1 - label, list_transform(range(1, 65), lambda i: CASE WHEN i = vec_id % 64 + 1 THEN -embedding[i] ELSE embedding[i] END) FROM embeddings),
+hashed AS (SELECT vec_id, label, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN e[i + 1] > e[i] THEN (1::HUGEINT << (63 - i)) ELSE 0 END))::BIGINT AS h FROM rows)"""
 
 
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", hashing.difference_hash(F.col("embedding")).alias("h"), F.md5(F.col("vec_id").cast("string")).alias("content"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").alias("e"))
+    turned = F.transform("e", lambda x, i: F.when(i == F.pmod("vec_id", F.lit(64)), -x).otherwise(x))
+    both = e.unionByName(e.select((F.col("vec_id") + 1000000000).alias("vec_id"), (1 - F.col("label")).alias("label"), turned.alias("e")))
+    return both.select("vec_id", "label", hashing.difference_hash(F.col("e")).alias("h"), F.md5(F.col("vec_id").cast("string")).alias("content"))
+
+
+NEAR = f"WITH {HASHED}, near AS (SELECT a.vec_id AS first_id, b.vec_id AS second_id, bit_count(xor(a.h, b.h))::INT AS distance, a.label AS first_split, b.label AS second_split FROM hashed a JOIN hashed b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 4)"
 
 
-@query(f"WITH {HASHED} SELECT a.vec_id AS first_id, b.vec_id AS second_id, bit_count(xor(a.h, b.h))::INT AS distance FROM hashed a JOIN hashed b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 14")
+@query(f"{NEAR} SELECT first_id, second_id, distance FROM near")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return J.near_duplicates(_hashed(spark, sf), "vec_id", "h", "content", 14, 63)
+    return J.near_duplicates(_hashed(spark, sf), "vec_id", "h", "content", 4, 63)
 
 
-@query(f"WITH {HASHED} SELECT a.vec_id AS first_id, b.vec_id AS second_id, bit_count(xor(a.h, b.h))::INT AS distance, a.label AS first_split, b.label AS second_split FROM hashed a JOIN hashed b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE bit_count(xor(a.h, b.h)) <= 16")
+@query(f"{NEAR} SELECT * FROM near WHERE first_split <> second_split")
 def near_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    return J.near_leakage(_hashed(spark, sf), "vec_id", "h", "content", "label", 16, 63)
+    return J.near_leakage(_hashed(spark, sf), "vec_id", "h", "content", "label", 4, 63)
 
 
 KEY = "md5('42|' || doc_id)"
@@ -216,6 +221,16 @@ def error_tally(spark: SparkSession, sf: str) -> DataFrame:
     return A.error_tally(_matches(spark, sf))
 
 
+@query(MATCHED + " SELECT image, outcome, count(*) AS n FROM outcomes WHERE outcome <> 'hit' GROUP BY 1, 2")
+def errors_by_image(spark: SparkSession, sf: str) -> DataFrame:
+    return A.error_tally(_matches(spark, sf), by=["image"])
+
+
+@query(MATCHED + """ SELECT image, "at", outcome FROM outcomes WHERE outcome <> 'hit'""")
+def error_items(spark: SparkSession, sf: str) -> DataFrame:
+    return A.error_items(_matches(spark, sf)).select("image", F.col("at").cast("long").alias("at"), "outcome")
+
+
 @query(f"""WITH {BOXES} SELECT image, l_partkey, round((x2 - x1) * (y2 - y1), 6) AS area, round((x2 - x1) / (y2 - y1), 6) AS aspect, round((x1 + x2) / 2 / 700, 6) AS cx, round((y2 - y1) / 500, 6) AS h, x1::INT AS back, (x2 - x1) * (y2 - y1) BETWEEN 1800 AND 2800 AND (x2 - x1) / (y2 - y1) BETWEEN 1.2::DOUBLE AND 2.0::DOUBLE AS fits,
 least((x1 / 700 * 640 / 640), 1) <= 1 AS small FROM boxes""")
 def box_geometry(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,8 +336,26 @@ def issue_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT count(*) AS count, min(p_size) AS width_min, max(p_size) AS width_max, round(avg(p_size), 2) AS width_mean, min(p_partkey % 9) AS height_min, max(p_partkey % 9) AS height_max, round(avg(p_partkey % 9), 2) AS height_mean, count(DISTINCT (p_size, p_partkey % 9)) AS resolutions FROM part")
 def size_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    out = A.size_statistics(table(spark, sf, "part").withColumn("h", F.col("p_partkey") % 9), "p_size", "h")
-    return out.withColumn("resolutions", F.size("resolutions").cast("long"))
+    return A.size_statistics(table(spark, sf, "part").withColumn("h", F.col("p_partkey") % 9), "p_size", "h")
+
+
+@query("SELECT p_size AS width, p_partkey % 9 AS height, count(*) AS n FROM part GROUP BY 1, 2")
+def resolution_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return A.resolutions(table(spark, sf, "part").withColumn("h", F.col("p_partkey") % 9), "p_size", "h")
+
+
+@query("""SELECT 'width' AS kind, (n_chars - 100)::VARCHAR AS value, count(*) AS n FROM documents WHERE n_chars >= 100 GROUP BY 2 UNION ALL SELECT 'height', '1', count(*) FROM documents WHERE n_chars >= 100 UNION ALL
+SELECT 'corrupt', doc_id::VARCHAR, count(*) FROM documents WHERE n_chars < 100 GROUP BY 2 UNION ALL SELECT 'invalid', doc_id::VARCHAR, count(*) FROM labels WHERE quality = 0 GROUP BY 2""")
+def raw_set_details(spark: SparkSession, sf: str) -> DataFrame:
+    i = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") - 100).alias("width")).withColumn("height", F.when(F.col("width") >= 0, 1))
+    return A.raw_set_details(i, table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 0, "bad").alias("error")), "doc_id", "doc_id")
+
+
+@query("""SELECT source, 'corrupt' AS kind, doc_id::VARCHAR AS name, NULL AS value FROM documents WHERE n_chars < 500 UNION ALL SELECT source, 'hash', doc_id::VARCHAR, md5(text) FROM documents UNION ALL
+SELECT source, 'size', n_chars::VARCHAR, count(*)::VARCHAR FROM documents WHERE n_chars >= 500 GROUP BY source, n_chars""")
+def manifest_details(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").withColumn("hash", F.md5("text"))
+    return A.manifest_details(d, "source", "doc_id", "n_chars", "hash", F.col("n_chars") < 500)
 
 
 @query("""SELECT count(*) AS images, count(*) FILTER (n_chars < 100) AS corrupt, count(DISTINCT CASE WHEN n_chars >= 100 THEN n_chars - 100 END) AS widths, count(DISTINCT CASE WHEN n_chars >= 100 THEN 1 END) AS heights,
@@ -512,8 +545,7 @@ def predicted_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf: str, columns: list[str]) -> tuple[DataFrame, str]:
     schema = table(spark, sf, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return R.inspection_stream(spark, sf, schema, 10, "events.parquet").select(*columns), f"{base}/stream-{np.random.default_rng().integers(1 << 60):x}"
+    return R.inspection_stream(spark, sf, schema, 10, "events.parquet").select(*columns), f"{shared_folder(spark)}/stream-{np.random.default_rng().integers(1 << 60):x}"
 
 
 def _landed(stream: DataFrame, at: str) -> DataFrame:
@@ -544,11 +576,44 @@ def daily_counters(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {ACTIONS} SELECT action_id, row_number() OVER (PARTITION BY review_id ORDER BY ts, action_id) = 1 AS accepted FROM actions")
 def streamed_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """The review state machine over the stream of actions; one batch here, so its order is the batch's."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", R.ROCKSDB)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     stream, at = _stream(spark, sf, ["user_id", "event_id", "event_type", "ts"])
     kinds = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "click", "correct").otherwise("reject")
     acts = stream.where(F.col("event_type").isin("purchase", "click", "error")).select(F.col("user_id").alias("review_id"), F.col("event_id").alias("action_id"), kinds.alias("action"), F.col("ts").cast("timestamp").alias("ts"))
-    return _landed(R.review_stream(acts), at).select("action_id", "accepted")
+    spark.conf.set(name, R.ROCKSDB)
+    try:
+        return _landed(R.review_stream(acts), at).select("action_id", "accepted")
+    finally:
+        spark.conf.set(name, before)
+
+
+@query("SELECT event_id, event_type FROM events")
+def resumed_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed run twice with one checkpoint: the second run finds nothing new."""
+    stream, at = _stream(spark, sf, ["event_id", "event_type"])
+    _landed(stream, at)
+    return _landed(stream, at)
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN n_chars >= 1500 THEN 'false_positive' ELSE 'false_negative' END AS kind FROM documents JOIN labels USING (doc_id) WHERE (n_chars >= 1500) <> (quality = 1)) GROUP BY 1 UNION ALL SELECT 'metrics', 1")
+def written_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """An evaluation written to a folder and read again."""
+    s, path = _scored(spark, sf), f"{shared_folder(spark)}/evaluation-{np.random.default_rng().integers(1 << 60):x}"
+    sinks.write_evaluation(A.evaluate(s, "quality", "score", 1500.0), A.failure_cases(s, "quality", "score", 1500.0), path)
+    cases = spark.read.parquet(f"{path}/false_positives", f"{path}/false_negatives")
+    return A.class_distribution(cases, "kind").unionByName(spark.read.json(f"{path}/metrics").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("metrics")))
+
+
+SCENE = "(SELECT vec_id, list_transform(embedding[1:64], lambda x: (floor(least(greatest((x + 3) * 40, 0), 255)))::INT) AS g FROM embeddings)"
+
+
+@query(f"SELECT vec_id::VARCHAR AS origin, round(len(list_filter(g, lambda x: x >= 160)) / 64, 6) AS bright_ratio, round(len(list_filter(g, lambda x: x <= 80)) / 64, 6) AS dark_ratio FROM {SCENE}")
+def brightness_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as grey images of 8 by 8 pixels through the image job."""
+    level = F.transform(F.slice("embedding", 1, 64), lambda x: F.lower(F.lpad(F.hex(F.floor(F.least(F.greatest((x + F.lit(3).cast("float")) * 40, F.lit(0)), F.lit(255))).cast("long")), 2, "0")))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(level, "")).alias("data"))
+    return U.image_features(e, 160, 80).select("origin", F.round("bright_ratio", 6).alias("bright_ratio"), F.round("dark_ratio", 6).alias("dark_ratio"))
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'error' THEN 'good' ELSE 'bad' END AS sink FROM events")
