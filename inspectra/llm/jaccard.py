@@ -37,6 +37,8 @@ WIDTH, PERCENT = 5, 75
 CELLS, SLICE = 1 << 22, 1 << 16
 #: Linking rounds, predecessors that a set meets in each, and sets in a block of an opened group.
 ROUNDS, NEIGHBOURS, BLOCK = 2, 8, 256
+#: Tokens of sets that a comparing task remembers.
+REMEMBERED = 1 << 20
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -131,10 +133,10 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 
 class Sets:
-    """Sets of packed texts, the last few remembered."""
+    """Sets of packed texts; the last ones are remembered, REMEMBERED tokens at most."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, OrderedDict()
+        self.width, self.known, self.size = width, OrderedDict(), 0
 
     def of(self, uid: int, body: bytes) -> np.ndarray | None:
         """The set of a text, None if it is not the set of that id (another text with the same doc_id)."""
@@ -143,8 +145,9 @@ class Sets:
             if not len(tokens) or set_id(tokens) != uid:
                 return None
             self.known[uid] = tokens
-            if len(self.known) > 2000:
-                self.known.popitem(last=False)
+            self.size += len(tokens)
+            while self.size > REMEMBERED and len(self.known) > 1:
+                self.size -= len(self.known.popitem(last=False)[1])
         return self.known[uid]
 
 
