@@ -23,7 +23,7 @@ from . import workflow as M
 Tables = dict[str, DataFrame]
 #: What a scan can find.
 SCAN_CODES = (
-    "UNSUPPORTED_IMAGE_FORMAT", "CORRUPT_IMAGE", "BLURRY_IMAGE", "OVEREXPOSED_IMAGE", "UNDEREXPOSED_IMAGE", "EXACT_DUPLICATE", "NEAR_DUPLICATE", "SPLIT_LEAKAGE", "NEAR_SPLIT_LEAKAGE",
+    "UNSUPPORTED_IMAGE_FORMAT", "CORRUPT_IMAGE", "BLURRY_IMAGE", "OVEREXPOSED_IMAGE", "UNDEREXPOSED_IMAGE", "EXACT_DUPLICATE", "NEAR_DUPLICATE", "SPLIT_LEAKAGE", "POTENTIAL_SPLIT_LEAKAGE",
     "MISSING_ANNOTATION", "EMPTY_ANNOTATION", "MALFORMED_ANNOTATION", "INVALID_CLASS", "OUT_OF_BOUNDS_BOX", "TINY_BOX",
 )
 
@@ -49,7 +49,7 @@ def scan_quality(images: DataFrame, labels: DataFrame, n_classes: int, near: int
     ]
     if near is not None:
         close = J.near_leakage(good, "path", "dhash", "md5", "split", near)
-        found += [told(J.near_duplicates(good, "path", "dhash", "md5", near).withColumnRenamed("second_id", "path"), "NEAR_DUPLICATE"), told(close.withColumnRenamed("second_id", "path"), "NEAR_SPLIT_LEAKAGE")]
+        found += [told(J.near_duplicates(good, "path", "dhash", "md5", near).withColumnRenamed("second_id", "path"), "NEAR_DUPLICATE"), told(close.withColumnRenamed("second_id", "path"), "POTENTIAL_SPLIT_LEAKAGE")]
     issues = W.union_issues(*found)
     return {
         "issues": issues, "summary": A.issue_summary(issues, "code", SCAN_CODES), "sizes": A.size_statistics(good, "width", "height"), "resolutions": A.resolutions(good, "width", "height"),

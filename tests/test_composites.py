@@ -14,7 +14,7 @@ def test_scan_finds_what_is_planted(spark):
     assert got == sorted([
         ("UNSUPPORTED_IMAGE_FORMAT", "val/c.gif"), ("CORRUPT_IMAGE", "val/d.png"), ("BLURRY_IMAGE", "train/b.png"), ("OVEREXPOSED_IMAGE", "train/b.png"), ("MISSING_ANNOTATION", "train/b.png"), ("EMPTY_ANNOTATION", "val/a.png"),
         ("OUT_OF_BOUNDS_BOX", "train/a.png"), ("INVALID_CLASS", "val/c.gif"), ("TINY_BOX", "val/c.gif"), ("EXACT_DUPLICATE", "train/b.png"), ("EXACT_DUPLICATE", "val/a.png"),
-        *[("SPLIT_LEAKAGE", p) for p in ("train/a.png", "train/b.png", "val/a.png")], *[("NEAR_DUPLICATE", "val/c.gif")] * 3, *[("NEAR_SPLIT_LEAKAGE", "val/c.gif")] * 2,
+        *[("SPLIT_LEAKAGE", p) for p in ("train/a.png", "train/b.png", "val/a.png")], *[("NEAR_DUPLICATE", "val/c.gif")] * 3, *[("POTENTIAL_SPLIT_LEAKAGE", "val/c.gif")] * 2,
     ])
     assert out["summary"].first()["issue_count"] == len(got) and out["report"].first()["summary"]["issue_count"] == len(got)
     assert {r["class_id"]: r["n"] for r in out["classes"].collect()} == {0: 1, 1: 1}
