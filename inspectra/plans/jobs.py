@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.boxes import box
+from ..functions.boxes import EDGES, box, to_pixels
+from ..functions.hashing import rolling_hash36
 from ..operators import composites as X
 from .dataset import BENCH, IOU, KEY, NUM, REPORT
 from .inspection import MEASURES, decided, image_measures
@@ -194,3 +195,18 @@ def united_issues(spark: SparkSession, sf: str) -> DataFrame:
 
     seen = C.exposure_issues(image_measures(spark, sf), "doc_id", "blur", "bright", "dark")
     return W.union_issues(seen, table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("path"), F.lit("LOW_QUALITY").alias("code"))).select("path", "code")
+
+
+@query("SELECT event_id, lower(to_base(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(event_type || event_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296), 36)) AS hash FROM events")
+def rolling_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", rolling_hash36(F.concat("event_type", F.col("event_id").cast("string"))).alias("hash"))
+
+
+@query(f"WITH {BOXES} SELECT image, l_partkey, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM boxes")
+def pixel_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of odd lines are given as shares of the image, the others in pixels; both come out in pixels."""
+    side = {"x": 700.0, "y": 500.0}
+    odd = F.col("l_linenumber") % 2 == 1
+    given = F.struct(*[F.when(odd, F.col(f"box.{e}") / side[e[0]]).otherwise(F.col(f"box.{e}")).alias(e) for e in EDGES])
+    out = to_pixels(given, F.lit(700.0), F.lit(500.0))
+    return boxes(spark, sf).select("image", "l_partkey", *[F.round(out[e], 4).alias(e) for e in EDGES])
