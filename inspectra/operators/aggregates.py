@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.variants import text_at, tolerant_number
 from .joins import apply_model
-from .windows import counted_before
+from .windows import Ranges, _null_safe, counted_before, range_offsets
 
 
 def class_distribution(df: DataFrame, cls: str) -> DataFrame:
@@ -120,22 +120,32 @@ def benchmark_metrics(reports: DataFrame, report: str) -> DataFrame:
         text_at(v, "$.created_at", "$.generated_at").alias("generated_at"), F.try_variant_get(b, "$.provider", "string").alias("selected_provider"), tolerant_number(b, "$.batch_size").alias("selected_batch_size"))
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str] | None = None) -> DataFrame:
-    """A row per group (or one) with an interpolated quantile for every name; exact, of counts of distinct values that
-    range partitions hold, so that no buffer keeps a group's values."""
+def values_at(df: DataFrame, value: str, places: dict[str, Column], group: list[str] | None = None) -> DataFrame:
+    """A row per group (or one) with the value at every 0-based place of its sorted values that are not null; places are
+    columns of `_t`, the number of these values. Exact, by selection: values are dealt into ranges by constant split points,
+    counts tell the ranges that hold the places, and only the distinct values of those are shuffled and sorted."""
     by = group or []
-    each = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = counted_before(each, ["_x"], "_n", "_before", by)
-    total = placed.groupBy(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)]).agg(F.sum("_n").alias("_total"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)], F.lit(True))
-    met = placed.join(total, same)
-    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_x")))
-    out = {}
-    for name, share in shares.items():
-        place = (F.col("_total") - 1) * F.lit(share)
-        out[name] = (at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place)))
-    agg = met.groupBy(*by).agg(*[c.alias(f"{name}_{i}") for name, cs in out.items() for i, c in enumerate(cs)])
-    return agg.select(*by, *[(F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * F.col(f"{n}_2")).alias(n) for n in shares])
+    gs = [f"_g{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, gs)], F.col(value).alias("_x"))
+    dealt = rows.withColumn("_p", Ranges(rows, ["_x"]).of())
+    offsets = range_offsets(dealt, F.lit(1), gs)
+    holds = lambda k, lo, n: (lo <= k) & (k < lo + n)
+    wanted = offsets.where(reduce(lambda a, b: a | b, [holds(k, F.col("_b"), F.col("_c")) for k in places.values()]))
+    wanted = wanted.select(*[F.col(g).alias(f"{g}w") for g in gs], "_q", "_b", "_t")
+    met = dealt.join(wanted, _null_safe([F.col(g) for g in gs], [F.col(f"{g}w") for g in gs]) & (F.col("_p") == F.col("_q")))
+    each = met.groupBy(*gs, "_p", "_b", "_t", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*gs, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumn("_b", F.col("_b") + upto - F.col("_n"))
+    found = placed.groupBy(*gs).agg(F.max("_t").alias("_t"), *[F.max(F.when(holds(k, F.col("_b"), F.col("_n")), F.col("_x"))).alias(c) for c, k in places.items()])
+    return found.select(*[F.col(g).alias(c) for c, g in zip(by, gs)], "_t", *places)
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str] | None = None) -> DataFrame:
+    """A row per group (or one) with an interpolated quantile for every name; exact, by selection (see values_at)."""
+    by, place = group or [], lambda share: (F.col("_t") - 1) * F.lit(share)
+    ends = {f"{n}_{i}": f(place(q)) for n, q in shares.items() for i, f in enumerate((F.floor, F.ceil))}
+    part = lambda n, q: F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * (place(q) - F.floor(place(q)))
+    return values_at(df, value, ends, by).select(*by, *[part(n, q).alias(n) for n, q in shares.items()])
 
 
 def latency_summary(df: DataFrame, group: str, ms: str, batch: Column | None = None) -> DataFrame:
@@ -149,14 +159,9 @@ def latency_summary(df: DataFrame, group: str, ms: str, batch: Column | None = N
 
 
 def nearest_rank(df: DataFrame, value: str, q: float) -> DataFrame:
-    """One row `value`: the element at half-even rounded (n - 1) q of the sorted values, 3 decimals, 0 without any.
-
-    Works on counts of distinct values in range partitions.
-    """
-    each = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    total = each.agg(F.sum("n").alias("t"))
-    met = counted_before(each, ["x"], "n").join(F.broadcast(total), F.lit(True)).where(F.col("before") + F.col("n") > F.bround((F.col("t") - 1) * q))
-    return met.agg(F.coalesce(F.round(F.min("x"), 3), F.lit(0.0)).alias("value"))
+    """One row `value`: the element at half-even rounded (n - 1) q of the sorted values, 3 decimals, 0 without any."""
+    at = values_at(df, value, {"x": F.bround((F.col("_t") - 1) * q).cast("long")})
+    return at.agg(F.coalesce(F.round(F.max("x"), 3), F.lit(0.0)).alias("value"))
 
 
 def run_summary(df: DataFrame, ok: Column, status: str, review: Column, repeat: Column, ms: str, q: float = 0.95) -> DataFrame:
@@ -169,19 +174,30 @@ def run_summary(df: DataFrame, ok: Column, status: str, review: Column, repeat:
 
 
 def mid_ranks(df: DataFrame, score: str, group: list[str] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct scores (per group) with n, sums and mid_rank; ranks are counted in range partitions."""
+    """Distinct scores (per group) with n, sums and mid_rank; ranks are counted in ranges of constant split points."""
     by = group or []
     each = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in (sums or {}).items()])
     return counted_before(each, [score], "n", "_before", by).withColumn("mid_rank", F.col("_before") + (F.col("n") + 1) / 2).drop("_before")
 
 
 def auroc(df: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve with mid-ranks for ties, null where a class is missing; one row, or one per group."""
+    """Area under the ROC curve with mid-ranks for ties, null where a class is missing; one row, or one per group.
+
+    Scores are dealt into ranges by constant split points and ranked within them; a range's positives move up by the
+    counts of the ranges before, which are few rows, so ranks are never joined back to scores.
+    """
     by = group or []
-    ranked = mid_ranks(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), score, by, {"p": F.col(label).cast("long")})
-    pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
-    area = F.when((pos > 0) & (neg > 0), (F.sum(F.col("mid_rank") * F.col("p")) - pos * (pos + 1) / 2) / (pos * neg))
-    return ranked.groupBy(*by).agg(area.alias("auroc"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("_x"), F.col(label).cast("long").alias("_y"))
+    dealt = rows.withColumn("_p", Ranges(rows, ["_x"]).of())
+    each = dealt.groupBy(*by, "_p", "_x").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    twice = each.withColumn("r", 2 * upto - F.col("n") + 1)  # twice the mid-rank within the range: a whole number
+    parts = twice.groupBy(*by, "_p").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("r") * F.col("p")).cast("decimal(38,0)").alias("r"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    moved = parts.withColumn("r", F.col("r") + 2 * before.cast("decimal(19,0)") * F.col("p").cast("decimal(18,0)"))
+    pos, neg = F.sum("p").cast("double"), F.sum(F.col("n") - F.col("p")).cast("double")
+    area = F.when((pos > 0) & (neg > 0), (F.sum("r").cast("double") / 2 - pos * (pos + 1) / 2) / (pos * neg))
+    return moved.groupBy(*by).agg(area.alias("auroc"))
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:

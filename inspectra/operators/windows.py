@@ -110,33 +110,73 @@ def class_ids(df: DataFrame, cls: str, order: list[str]) -> DataFrame:
     return first.withColumn("class_id", F.row_number().over(Window.orderBy("_first", cls)) - 1).drop("_first")
 
 
+#: Rows of the sample behind each range, and the most ranges of an order: together they bound what the driver reads.
+SAMPLE_PER_RANGE, MOST_RANGES = 48, 1024
+
+
+class Ranges:
+    """Split points of an order, found once and sent as constants.
+
+    Every plan that deals rows by comparison with them agrees on a row's range, whatever its other columns, partitions or
+    retries. The points are quantiles of a uniform sample of rows, of at most MOST_RANGES * SAMPLE_PER_RANGE rows, so a
+    range holds about the same number of rows; equal rows are in one range. Nulls come first, as in an ascending sort.
+    """
+
+    def __init__(self, df: DataFrame, order: list[str], ranges: int | None = None, seed: int = 42):
+        ranges = min(MOST_RANGES, ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.row = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+        drawn = df.select(self.row.alias("p")).where("p is not null").orderBy(F.rand(seed)).limit(ranges * SAMPLE_PER_RANGE)
+        sample = drawn.agg(F.array_sort(F.collect_list("p")).alias("s"))
+        cuts = F.sequence(F.lit(1), F.lit(max(ranges - 1, 1)))
+        found = sample.select(F.array_distinct(F.filter(F.transform(cuts, lambda i: F.get("s", (F.size("s") * i / ranges).cast("int"))), lambda x: x.isNotNull())).alias("p"))
+        self.kind = found.schema["p"].dataType
+        self.count, self.points = found.select(F.size("p"), F.to_json("p")).first()
+
+    def of(self) -> Column:
+        """The range of a row: how many split points are at or before it. A binary search over constants, in as many steps
+        as the logarithm of their number. (Text carries them into the plan at once; what matters is that all plans get the
+        same.)"""
+        points = F.from_json(F.lit(self.points), self.kind)
+        steps = F.from_json(F.lit(str([1 << k for k in reversed(range(self.count.bit_length()))])), "array<int>")
+        # beyond the last point get gives null, and nothing is at or before it
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) <= self.row, at + step).otherwise(at))
+
+
+def _null_safe(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, [x.eqNullSafe(y) for x, y in zip(a, b)], F.lit(True))
+
+
+def range_offsets(dealt: DataFrame, n: Column, by: list[str]) -> DataFrame:
+    """For rows dealt into ranges (_p): a row per group and range with _g0, _g1 ..., _q (the range), _b (the sum of n in
+    the ranges before), _c (its own) and _t (of the whole group). Summed before the shuffle; a group has few ranges."""
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    sums = dealt.groupBy(*keys, F.col("_p").alias("_q")).agg(F.sum(n).alias("_c"))
+    w = Window.partitionBy(*[f"_g{i}" for i in range(len(by))])
+    upto = F.sum("_c").over(w.orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
+    return sums.select("*", (upto - F.col("_c")).alias("_b"), F.sum("_c").over(w).alias("_t"))
+
+
 def numbered(df: DataFrame, order: list[str], at: str = "at") -> DataFrame:
-    """df with its 0-based place in a total order: range partitions are sorted apart and offset by the counts before."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    ends = local.groupBy("_p").agg(F.max("_n").alias("_c"))
-    before = ends.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_b"))
-    return local.join(before, "_p").withColumn(at, F.col("_b") + F.col("_n") - 1).drop("_p", "_n", "_b")
+    """df with its 0-based place in a total order. Rows are dealt by constant split points, sorted within their range and
+    offset by the counts of the ranges before; no task holds the order."""
+    dealt = df.withColumn("_p", Ranges(df, order).of())
+    local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    before = range_offsets(dealt, F.lit(1), []).select("_q", "_b")
+    return local.join(before, F.col("_p") == F.col("_q")).withColumn(at, F.col("_b") + F.col("_n") - 1).drop("_p", "_q", "_n", "_b")
 
 
 def counted_before(counts: DataFrame, order: list[str], n: str, before: str = "before", group: list[str] | None = None) -> DataFrame:
     """counts (distinct rows of group and order, with a count n) with the sum of n over the rows before, in their group.
 
-    Range partitions are summed apart and offset by the sums before them, so no task holds a group's order.
+    Rows are dealt by constant split points of the order, summed within their group and range and offset by the sums of
+    the ranges before, so no task holds a group's order.
     """
     by = group or []
-    line = [*by, *order]
-    parts = counts.repartitionByRange(*line).withColumn("_p", F.spark_partition_id())
-    upto = F.sum(n).over(Window.partitionBy("_p").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
-    local = parts.withColumn("_l", upto)
-    ends = local.groupBy("_p").agg(F.sum(n).alias("_c"))
-    ahead = ends.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_b"))
-    placed = local.join(ahead, "_p").withColumn(before, F.col("_b") + F.col("_l")).drop("_p", "_l", "_b")
-    if not by:
-        return placed
-    first = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min(before).alias("_first"))
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
-    return placed.join(first, reduce(lambda a, b: a & b, same)).withColumn(before, F.col(before) - F.col("_first")).drop("_first", *[f"_g{i}" for i in range(len(by))])
+    dealt = counts.withColumn("_p", Ranges(counts, order).of())
+    local = dealt.withColumn("_l", F.sum(n).over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
+    ahead = range_offsets(dealt, F.col(n), by).drop("_c", "_t")
+    same = _null_safe([F.col(c) for c in by], [F.col(f"_g{i}") for i in range(len(by))]) & (F.col("_p") == F.col("_q"))
+    return local.join(ahead, same).withColumn(before, F.col("_b") + F.col("_l")).drop("_p", "_q", "_l", "_b", *[f"_g{i}" for i in range(len(by))])
 
 
 def decimate(df: DataFrame, order: list[str], max_rows: int) -> DataFrame:
