@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 
-op2 is sequential within a shard, op3 and op10 train models, op8 needs a tokenizer and op9 an HTML parser.
+op2 is sequential within a shard, op3 and op10 train models, op8 and op12 need a tokenizer, op9 an HTML parser and op11
+eigenvectors.
 """
 
 from __future__ import annotations
@@ -96,4 +97,27 @@ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a, c
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-ORACLES = {"op1_license_scan": OP1, "op4_mix_sources": OP4, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op7_near_vectors": OP7}
+_FIELD = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+_CRC = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda crc, b: list_reduce(range(0, 8)::UBIGINT[], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, xor(crc, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+#: The tree by grouping runs, the ways to the root and the folding by recursion over levels.
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF("replace(text, chr(10), '')")} END AS bad FROM documents),
+r AS (SELECT *, row_number() OVER () AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM d),
+a AS (SELECT t, 0 AS l, p, leaf AS h, n FROM r UNION ALL SELECT t, l + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM a WHERE n > 1 GROUP BY t, l, p // 3, n),
+subs AS (SELECT t, l, h FROM a WHERE n = 1), m AS (SELECT count(*) AS n FROM subs),
+b AS (SELECT 0 AS l, t AS p, h, m.n FROM subs, m UNION ALL SELECT l + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (n + 2) // 3 FROM b WHERE n > 1 GROUP BY l, p // 3, n),
+runs AS (SELECT false AS up, t, l, p // 3 AS run, list(h ORDER BY p) AS hs FROM a WHERE n > 1 GROUP BY t, l, p // 3 UNION ALL SELECT true, -1, l, p // 3, list(h ORDER BY p) FROM b WHERE n > 1 GROUP BY l, p // 3),
+way AS (SELECT i, false AS up, t AS k, 0 AS l, p AS at, r.n, t AS home, m.n AS homes, '' AS proof, coalesce(bad, leaf) AS folded FROM r, m
+  UNION ALL SELECT i, w.up, w.k, w.l, w.at, w.n, home, homes, w.proof || w.side, w.folded FROM (
+    SELECT w.i, home, homes, w.up OR w.n = 1 AS up, CASE WHEN w.up OR w.n = 1 THEN -1 ELSE w.k END AS k, CASE WHEN NOT w.up AND w.n = 1 THEN 0 ELSE w.l + 1 END AS l,
+      CASE WHEN NOT w.up AND w.n = 1 THEN home ELSE w.at // 3 END AS at, CASE WHEN NOT w.up AND w.n = 1 THEN homes ELSE (w.n + 2) // 3 END AS n, w.proof,
+      CASE WHEN NOT w.up AND w.n = 1 THEN '' ELSE array_to_string(list_concat(hs[:w.at % 3], hs[w.at % 3 + 2:]), '') END AS side,
+      CASE WHEN NOT w.up AND w.n = 1 THEN w.folded ELSE sha256(array_to_string(list_concat(hs[:w.at % 3], [w.folded], hs[w.at % 3 + 2:]), '')) END AS folded
+    FROM way w LEFT JOIN runs ON runs.up = w.up AND runs.t = w.k AND runs.l = w.l AND runs.run = w.at // 3 WHERE NOT (w.up AND w.n = 1)) w),
+fin AS (SELECT i, proof, folded FROM way WHERE up AND n = 1), root AS (SELECT h AS root FROM b WHERE n = 1)
+SELECT doc_id, leaf, subs.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM r JOIN fin USING (i) JOIN subs USING (t), root
+"""
+
+ORACLES = {"op1_license_scan": OP1, "op4_mix_sources": OP4, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op7_near_vectors": OP7, "op13_merkle_manifest": OP13}
