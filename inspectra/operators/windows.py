@@ -118,15 +118,16 @@ class Ranges:
     """Split points of an order, found once and sent as constants.
 
     Every plan that deals rows by comparison with them agrees on a row's range, whatever its other columns, partitions or
-    retries. The points are quantiles of a uniform sample of rows, of at most MOST_RANGES * SAMPLE_PER_RANGE rows, so a
-    range holds about the same number of rows; equal rows are in one range. Nulls come first, as in an ascending sort.
+    retries. The points are quantiles of a uniform sample of about SAMPLE_PER_RANGE rows a range, so ranges hold about the
+    same number of rows; equal rows are in one range. Nulls come first, as in an ascending sort.
     """
 
     def __init__(self, df: DataFrame, order: list[str], ranges: int | None = None, seed: int = 42):
         ranges = min(MOST_RANGES, ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         self.row = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
-        drawn = df.select(self.row.alias("p")).where("p is not null").orderBy(F.rand(seed)).limit(ranges * SAMPLE_PER_RANGE)
-        sample = drawn.agg(F.array_sort(F.collect_list("p")).alias("s"))
+        keyed, most = df.select(self.row.alias("p")).where("p is not null"), ranges * SAMPLE_PER_RANGE
+        rows = keyed.count()
+        sample = (keyed if rows <= most else keyed.where(F.rand(seed) < most / rows)).agg(F.array_sort(F.collect_list("p")).alias("s"))
         cuts = F.sequence(F.lit(1), F.lit(max(ranges - 1, 1)))
         found = sample.select(F.array_distinct(F.filter(F.transform(cuts, lambda i: F.get("s", (F.size("s") * i / ranges).cast("int"))), lambda x: x.isNotNull())).alias("p"))
         self.kind = found.schema["p"].dataType
