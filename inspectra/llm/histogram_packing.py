@@ -16,6 +16,7 @@ besides id and text are not read.
 
 from __future__ import annotations
 
+import base64
 import heapq
 import os
 import zlib
@@ -39,16 +40,33 @@ REMEMBERED, JOINED_BYTES = 600_000, 40_000
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, way int, part int, place long"
 
 
+#: The character that names a byte in byte-level vocabularies: itself if it shows, else the next free one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file. Texts are cut before single spaces between
     other characters, where no token of a byte-level tokenizer can cross; ids of these pieces are remembered. New pieces
-    go to the library joined, and are told apart by the bytes that ids stand for."""
+    go to the library joined, and are told apart by the bytes that ids stand for.
+
+    ranks, pattern: the same vocabulary as a rank file, for the library that merges ranks: new pieces in ASCII, where both
+    libraries split alike, then go to that one, which is faster."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known, self.merger = Tokenizer.from_file(path), {}, None
+        if ranks and pattern:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            names = self.library.get_vocab(with_added_tokens=False)
+            if any(names.get("".join(map(ALPHABET.__getitem__, token))) != rank for token, rank in table.items()):
+                raise ValueError(f"{ranks} is not the vocabulary of {path}")
+            self.merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, "int64")
         for token, i in vocabulary.items():
@@ -58,29 +76,37 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
-        joined: list[str] = []
-        groups: list[list[str]] = []
-        size = JOINED_BYTES
+        groups: dict[bool, list[list[str]]] = {False: [], True: []}
+        sizes = dict.fromkeys(groups, JOINED_BYTES)
         for x in new:
             if len(x) < 2 or x[0] != " " or x[1].isspace() or x[-1].isspace() or len(x) > 1000:
                 self.known[x] = self.one(x)
                 continue
-            if size >= JOINED_BYTES:
-                groups.append([])
-                size = 0
-            groups[-1].append(x)
-            size += len(x)
-        joined = ["".join(g) for g in groups]
-        for group, found in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            upto = np.concatenate([[0], np.cumsum(self.bytes[ids])])
-            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])
-            at = np.searchsorted(upto, ends)
-            if at[-1] < len(upto) and (upto[at] == ends).all() and upto[-1] == ends[-1]:
-                raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
-                self.known.update(zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-            else:  # an id that stands for other bytes than its name says
-                self.known.update((x, self.one(x)) for x in group)
+            plain = self.merger is not None and x.isascii() and "<|" not in x
+            if sizes[plain] >= JOINED_BYTES:
+                groups[plain].append([])
+                sizes[plain] = 0
+            groups[plain][-1].append(x)
+            sizes[plain] += len(x)
+        for plain, some in groups.items():
+            texts = list(map("".join, some))
+            if plain:
+                found = [self.merger.encode_ordinary(x) for x in texts]
+            else:
+                found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            for group, ids in zip(some, found):
+                self.keep(group, np.array(ids, "<u4"))
+
+    def keep(self, group: list[str], ids: np.ndarray) -> None:
+        """Cut the ids of joined pieces apart and remember them."""
+        upto = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])
+        at = np.searchsorted(upto, ends)
+        if at[-1] < len(upto) and (upto[at] == ends).all() and upto[-1] == ends[-1]:
+            raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+            self.known.update(zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        else:  # an id that stands for other bytes than its name says
+            self.known.update((x, self.one(x)) for x in group)
 
     def encode(self, text: str) -> bytes:
         parts = pieces(text) if text else []
@@ -93,14 +119,14 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, parts))
 
 
-#: A worker's encoders by path: kept from task to task.
-ENCODERS: dict[str, Encoder] = {}
+#: A worker's encoders by their files: kept from task to task.
+ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+def encoder(*files: str | None) -> Encoder:
+    if files not in ENCODERS:
+        ENCODERS[files] = Encoder(*files)
+    return ENCODERS[files]
 
 
 def cuts(n: int, capacity: int, ways: tuple[int, ...]) -> list[tuple[int, int, int]]:
@@ -112,12 +138,12 @@ def cuts(n: int, capacity: int, ways: tuple[int, ...]) -> list[tuple[int, int, i
     return out
 
 
-def encoded_pieces(docs: DataFrame, path: str, end: int, capacity: int, ways: tuple[int, ...]) -> DataFrame:
+def encoded_pieces(docs: DataFrame, files: tuple, end: int, capacity: int, ways: tuple[int, ...]) -> DataFrame:
     """docs (doc_id, text) as pieces of all ways, numbered by way and length within their task."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
+        encode, part = encoder(*files).encode, TaskContext.get().partitionId()
         seen: dict[tuple[int, int], int] = defaultdict(int)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
@@ -215,12 +241,15 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]], first: int) -> np.n
     return np.array(sorted(out), "int64").reshape(-1, 4)
 
 
-def pack_by_histogram(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END, capacity: int = CAPACITY, ways: tuple[int, ...] = WAYS, padding: float = PADDING) -> DataFrame:
+def pack_by_histogram(
+    docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", *,
+    end: int = END, capacity: int = CAPACITY, ways: tuple[int, ...] = WAYS, padding: float = PADDING,
+) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. path: a tokenizers .json file
-    that the executors can read; sequences hold `capacity` ids at most."""
+    that the executors can read (ranks, pattern: see Encoder); sequences hold `capacity` ids at most."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = keep(encoded_pieces(rows, path, end, capacity, ways), "pack-pieces")
+    made = keep(encoded_pieces(rows, (path, ranks, pattern), end, capacity, ways), "pack-pieces")
     counted = keep(made.groupBy("way", "part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histograms: dict[int, dict[int, int]] = defaultdict(dict)
     for r in counted.groupBy("way", "length").agg(F.sum("n").alias("n")).collect():  # at most (ways + 1) * capacity rows

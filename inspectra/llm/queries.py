@@ -63,7 +63,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return histogram_packing.pack_by_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return histogram_packing.pack_by_histogram(table(spark, sf_dir, "documents"), *files)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
