@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_packing, html, jaccard, licenses, lm, merkle, mixing, packing, quality, tokens, urls, vectors
+from . import histogram_packing, html, jaccard, licenses, lm, merkle, mixing, packing, quality, tokens, urls, vectors, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -60,6 +60,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), ranks=ranks, pattern=public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,4 +76,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores, op12_histogram_packing, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_url_filters, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_near_vectors, op8_token_counts, op9_main_text, op10_lm_scores, op11_whitening, op12_histogram_packing, op13_merkle_manifest)}
