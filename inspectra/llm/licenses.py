@@ -97,7 +97,8 @@ class Known:
 
     def column(self) -> Column:
         """array of (name, n, pairs), one constant."""
-        quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+        literal = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        quoted = lambda values: ", ".join(map(literal, values))
         return F.expr("array(" + ", ".join(f"named_struct('name', {quoted([name])}, 'n', {n}, 'pairs', array({quoted(pairs)}))" for name, n, pairs in self.rows) + ")")
 
     def index(self) -> Column:

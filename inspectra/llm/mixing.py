@@ -76,7 +76,7 @@ def mix(
     sized = keep(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).isNull().alias("_none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
-            n_words(F.col(text)).alias("size"), seeded(seed, F.col(doc_id)).alias("_order"), *([F.struct(*carry).alias("_in")] if carry else []),
+            n_words(F.col(text)).alias("size"), seeded(seed, F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))).alias("_order"), F.xxhash64(F.col(text)).alias("_tie"), *([F.struct(*carry).alias("_in")] if carry else []),
         ),
         "mix-sizes",
     )
@@ -89,7 +89,7 @@ def mix(
     dealt = sized.join(sources, by).withColumn("_shard", F.pmod(F.floor(F.col("_order") / 64), F.col("_shards")))
     shards = dealt.groupBy(*by, "_shard", "_quota").agg(F.sum("size").alias("_held"))
     won = highest_quotients(shards, ["_shard"], "_held", "_quota", by).select(*by, "_shard", "_held", F.col("won").alias("_won"))
-    line = Window.partitionBy(*by, "_shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*by, "_shard").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("_from", F.sum("size").over(line) - F.col("size")).join(won, [*by, "_shard"])
     n = F.greatest(F.ceil(F.col("_held") / block), F.lit(1)).cast("long")
     times, more = F.floor(F.col("_won") / n), F.pmod(F.col("_won"), n)

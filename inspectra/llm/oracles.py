@@ -41,7 +41,7 @@ SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches, coalesce(lice
 """
 
 OP4 = f"""
-WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS ord FROM documents),
+WITH sized AS (SELECT doc_id, source, len({WORDS}) AS size, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS ord FROM documents),
 s AS (SELECT source IS NULL AS none, coalesce(source, '') AS src, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1, 2),
 w AS (SELECT *, row_number() OVER (ORDER BY none, src) AS rank, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY none, src) - 1) % 3) + 1]::DOUBLE AS weight FROM s),
 l AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS fill FROM w),

@@ -31,6 +31,17 @@ def test_highest_quotients(spark, weights, seats):
     assert [got[i] for i in range(len(weights))] == by_quotients(weights, seats)
 
 
+def test_null_and_equal_ids_mix_alike_again(spark):
+    rows = [(None, f"w{i} x{i % 7} y", "a") for i in range(300)] + [(3, f"v{i} x y", "a") for i in range(50)] + [(4, "long " * 100_000, None)]
+    runs = []
+    for n in (1, 3, 5):
+        out = mixing.mix(docs(spark, rows).repartition(n, "text"), shard_words=100, carry=("text",)).select("_in.text", "taken").collect()
+        runs.append(sorted(map(tuple, out)))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+    one = mixing.mix(docs(spark, rows), shard_words=100).collect()
+    assert sum(r["taken"] for r in one if r["doc_id"] is None) > 0
+
+
 def test_mix_targets_and_takes(spark):
     draw = random.Random(1)
     rows = [(i, "w " * draw.randint(0, 200), ["a", "b", "c", "d", None][min(i % 9, 4)]) for i in range(400)] + [(900, None, "a"), (901, "", None)]

@@ -286,3 +286,11 @@ def test_columns_named_like_our_own(spark):
     assert tokens.count_tokens(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     clash = spark.createDataFrame([(1, "http://a.com/x", "u", "t")], "page_id long, _url string, url string, tokens string")
     assert urls.filter_urls(clash, labels).count() == 1
+
+
+def test_license_names_with_quotes_ties_and_long_texts(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    templates = (("O'Neil \\ Sons", " ".join(words)), ("Twin", " ".join(words)))
+    rows = [(1, " ".join(words), "a"), (2, "filler text here. " * 40_000 + "\n" + " ".join(words) + "\n" + "more filler. " * 40_000, "a")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs(spark, rows), templates=templates).collect()}
+    assert got == {1: "O'Neil \\ Sons", 2: "O'Neil \\ Sons"}  # of equal matches the first name
