@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import otsu_threshold  # noqa: F401  the threshold of extract_regions, offered per group of rows as well
+from .tiles import labelled, mask_regions, smooth_map, tile_parts  # noqa: F401  the work on positions is by tiles
 
 
 def predict_batch(df: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -127,21 +128,6 @@ def pixel_features(df: DataFrame, size: int = 256) -> DataFrame:
     return _each(df, make, "pos int, channel int, value double", ["pos", "channel", "value"])
 
 
-def labelled(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a boolean mask, numbered from 1 in reading order; 0 outside."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(np.where(mask, label, mask.size + 1), 1, constant_values=mask.size + 1)
-        h, w = mask.shape
-        least = np.min([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-        new = np.where(mask, least, 0)
-        new = np.where(mask, np.minimum(new, np.concatenate([[0], label.ravel()])[new]), 0)
-        if (new == label).all():
-            found = np.unique(label[mask])
-            return np.where(mask, np.searchsorted(found, label) + 1, 0)
-        label = new
-
-
 def otsu(image: np.ndarray) -> int:
     """Level t of a byte image with the largest between-class variance of <= t and > t."""
     n = np.bincount(image.ravel(), minlength=256).astype(float)
@@ -153,12 +139,9 @@ def otsu(image: np.ndarray) -> int:
 
 def regions_of(mask: np.ndarray) -> list[tuple]:
     """(x1, y1, x2, y2, area, cx, cy) of the components; x2 and y2 are one past the last pixel."""
-    label = labelled(mask)
-    out = []
-    for i in range(1, label.max() + 1 if label.size else 1):
-        ys, xs = np.nonzero(label == i)
-        out.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, int(len(xs)), float(xs.mean()), float(ys.mean())))
-    return out
+    parts = tile_parts(mask, 0, 0, mask.shape[1])
+    parts = parts[parts["kind"] == "part"]
+    return [(x.x1, x.y1, x.x2, x.y2, x.area, x.sx / x.area, x.sy / x.area) for x in parts.itertuples()]
 
 
 REGION = "x1 int, y1 int, x2 int, y2 int, area int, cx double, cy double"
@@ -176,37 +159,6 @@ def extract_regions(df: DataFrame, least_area: int = 1, dark: bool = True) -> Da
     return _each(df, make, REGION, REGION_NAMES)
 
 
-def mask_regions(long_df: DataFrame, threshold: float, width: int, least_area: int = 16) -> DataFrame:
-    """Regions of the positions of each image whose score is above the threshold. long_df: id, pos, score."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((int(group["pos"].max()) // width + 1, width), bool)
-        mask[group["pos"] // width, group["pos"] % width] = True
-        rows = [(group["id"].iloc[0], *r) for r in regions_of(mask) if r[4] >= least_area]
-        return pd.DataFrame(rows, columns=["id", *REGION_NAMES])
-
-    kind = long_df.schema["id"].dataType.simpleString()
-    return long_df.where(F.col("score") > threshold).groupBy("id").applyInPandas(run, f"id {kind}, {REGION}")
-
-
-def smooth_map(long_df: DataFrame, width: int, height: int, size: int = 9) -> DataFrame:
-    """id, pos and score smoothed by a Gaussian of a given size, borders reflected without the edge."""
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    kernel = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
-    kernel /= kernel.sum()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros(height * width)
-        m[group["pos"]] = group["score"]
-        p = np.pad(m.reshape(height, width), size // 2, mode="reflect")
-        p = sum(k * p[i : i + height] for i, k in enumerate(kernel))
-        p = sum(k * p[:, i : i + width] for i, k in enumerate(kernel))
-        return pd.DataFrame({"id": group["id"].iloc[0], "pos": np.arange(height * width), "score": p.ravel()})
-
-    kind = long_df.schema["id"].dataType.simpleString()
-    return long_df.groupBy("id").applyInPandas(run, f"id {kind}, pos int, score double")
-
-
 def thumbnail_plan(issues: DataFrame, path: str, order: list[str], width: str, height: str) -> DataFrame:
     """For the first issue of each path: a short name and the size of a thumbnail of 240 by 180 at most."""
     first = issues.groupBy(path).agg(F.min(F.struct(*order, width, height)).alias("_f")).select(path, f"_f.{width}", f"_f.{height}")
