@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +38,12 @@ def write_labels(labels: DataFrame, path: str, split: str | None = None) -> Data
     return labels
 
 
-def manifest(samples: DataFrame, version: str, operator: str, label: str = "label", model: str = "model_version") -> DataFrame:
-    """One row: dataset_version, sample_count, class_distribution, source_model_versions (sorted, distinct), export_operator."""
+def manifest(samples: DataFrame, version: str, operator: str, label: str = "label", model: str = "model_version", source_version: str | None = None) -> DataFrame:
+    """One row: dataset_version, source_dataset_version, created_at, sample_count, added_sample_count, class_distribution,
+    source_model_versions (sorted, distinct) and export_operator. Ids and hashes are rows of manifest_samples."""
     classes = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sample_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("class_distribution"))
     models = samples.select(model).where(F.col(model).isNotNull()).distinct().agg(F.array_sort(F.collect_list(model)).alias("source_model_versions"))
-    return classes.join(models, F.lit(True)).withColumns({"dataset_version": F.lit(version), "export_operator": F.lit(operator)})
+    return classes.join(models, F.lit(True)).withColumns({"dataset_version": F.lit(version), "source_dataset_version": F.lit(source_version).cast("string"), "created_at": F.current_timestamp(), "added_sample_count": F.col("sample_count"), "export_operator": F.lit(operator)})
 
 
 def audit_rows(df: DataFrame, action: Column, entity: Column, operator: Column, ts: Column) -> DataFrame:
@@ -60,3 +65,40 @@ def write_evaluation(metrics: DataFrame, cases: DataFrame, path: str) -> None:
     metrics.write.mode("errorifexists").json(f"{path}/metrics")
     for kind in ("false_positive", "false_negative"):
         cases.where(F.col("kind") == kind).write.mode("errorifexists").parquet(f"{path}/{kind}s")
+
+
+def bitmap(levels: Column, width: int, height: int) -> Column:
+    """The bytes of a bitmap file (24 bits a pixel, no compression) of grey levels, an array of 0 to 255 row by row."""
+    pad = -3 * width % 4
+    size = (3 * width + pad) * height
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + size, 0, 0, 54, 40, width, height, 1, 24, 0, size, 2835, 2835, 0, 0).hex()
+    line = lambda y: F.concat(F.array_join(F.transform(F.slice(levels, (height - 1 - y) * width + 1, F.lit(width)), lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), ""), F.lit("00" * pad))
+    return F.unhex(F.concat(F.lit(head), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), line), "")))
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """Write each row's data (binary) as a file at its path below root, in the tasks; how many. root: a folder, or an address
+    that pyarrow knows, which all executors reach. A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        at, base = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        made: set[str] = set()
+        for part in batches:
+            for path, data in zip(part["path"], part["data"]):
+                name = f"{base}/{path}"
+                folder = name.rsplit("/", 1)[0]
+                if folder not in made:
+                    at.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with at.open_output_stream(name) as out:
+                    out.write(data)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return df.select("path", "data").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def manifest_samples(samples: DataFrame, version: str, source_version: str | None, id: str, hash: str) -> DataFrame:
+    """The samples behind a manifest, a row each: dataset_version, source_dataset_version, sample_id and image_hash."""
+    return samples.select(F.lit(version).alias("dataset_version"), F.lit(source_version).cast("string").alias("source_dataset_version"), F.col(id).cast("string").alias("sample_id"), F.col(hash).alias("image_hash"))
