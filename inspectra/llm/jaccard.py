@@ -113,12 +113,18 @@ def prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                 if size > 200_000:
                     yield batch()
                     held, size = [], 0
+                    give_back()
         if held:
             yield batch()
 
     return docs.select("text").mapInArrow(emit, "token long, uid long, n int, pos int")
 
 
+def give_back() -> None:
+    """Return Arrow's unused memory to the system: a worker that is used again keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+
+
 def least_shared(a: Column, b: Column, percent: int) -> Column:
     """Tokens that sets of sizes a and b must share at least."""
     return F.ceil(percent * (a + b) / (100 + percent))
@@ -164,6 +170,7 @@ def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ids.append(i)
                     packed.append(zlib.compress(text.encode(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "body"])
+            give_back()
 
     return docs.mapInArrow(pack, "doc_id long, body binary").join(wanted, "doc_id").select("uid", "body")
 
@@ -182,6 +189,8 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
                         good.append((a, b))
+            del rows
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     met = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
