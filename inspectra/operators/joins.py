@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
 from ..functions.hashing import hamming
+from ..sources.shared import written
+from .overlaps import CELL, assigned, overlapping
+from .windows import CROWDED, crowded
 
 
 def annotation_presence(images: DataFrame, labels: DataFrame, keys: list[str], text: str | None = None) -> DataFrame:
@@ -71,18 +73,20 @@ def near_leakage(df: DataFrame, id: str, hash64: str, content_hash: str, split:
     return out.where("first_split <> second_split")
 
 
-def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: str, order: list[str], threshold: float = 0.5) -> DataFrame:
+def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: str, order: list[str], threshold: float = 0.5, cell: float = CELL, most: int = CROWDED) -> DataFrame:
     """Greedy matching in truth order, blind to class, the first best prediction winning; a row per outcome.
 
-    Only pairs of at least the threshold go into an image's greedy pass. outcome: hit, class_error, missed (no prediction with IoU of at least the threshold left) or false_positive; at is the
+    Boxes meet in grid cells of a side of `cell`, and only pairs of at least the threshold go into an image's greedy pass;
+    an image with more than `most` of them is settled in rounds of joins, with the same result. outcome: hit, class_error, missed (no prediction with IoU of at least the threshold left) or false_positive; at is the
     1-based place of the truth, or of the prediction for a false positive. Images without truth rows are skipped.
     """
     w = Window.partitionBy(image).orderBy(*order)
     placed = lambda df: df.select(image, F.row_number().over(w).alias("at"), F.col(box).alias("box"), F.col(cls).cast("string").alias("cls"))
     t, p = placed(truth), placed(pred)
-    met = t.toDF(image, "t", "t_box", "t_cls").join(p.toDF(image, "p", "p_box", "p_cls"), image)
-    rated = met.select(image, "t", "p", (F.col("t_cls") == F.col("p_cls")).alias("same"), iou(F.col("t_box"), F.col("p_box")).alias("iou")).where(F.col("iou") >= threshold)
-    offers = rated.groupBy(image, "t").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "p", F.coalesce("same", F.lit(False)).alias("same")))).alias("offers"))
+    met = overlapping(t.toDF(image, "t", "left_box", "t_cls"), p.toDF(image, "p", "right_box", "p_cls"), image, "box", None, cell)
+    rated = met.where(F.col("iou") >= threshold).select(image, "t", "p", F.coalesce(F.col("t_cls") == F.col("p_cls"), F.lit(False)).alias("same"), "iou")
+    rated, full = crowded(written(rated, "offers"), image, most)
+    offers = rated.groupBy(image, "t").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "p", "same"))).alias("offers"))
     lists = offers.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("t", "offers"))).alias("lists"))
     taken = "array<struct<t: int, p: int, same: boolean>>"
 
@@ -91,6 +95,8 @@ def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: st
         return F.when(F.size(free) > 0, F.array_append(done, F.struct(x["t"].alias("t"), F.get(free, 0)["p"].alias("p"), F.get(free, 0)["same"].alias("same")))).otherwise(done)
 
     pairs = lists.select(image, F.explode(F.aggregate("lists", F.array().cast(taken), step)).alias("m")).select(image, "m.t", "m.p", "m.same")
+    if full is not None:
+        pairs = pairs.unionByName(assigned(full, image))
     outcome = F.when(F.col("same").isNull(), "missed").when(F.col("same"), "hit").otherwise("class_error")
     hits = t.withColumnRenamed("at", "t").join(pairs.select(image, "t", "same"), [image, "t"], "left").select(image, F.col("t").alias("at"), outcome.alias("outcome"))
     seen = p.join(truth.select(image).distinct(), image, "left_semi").join(pairs.select(image, F.col("p").alias("at")), [image, "at"], "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import iou
 from ..sources.shared import written
 
-CELL = 256.0
+CELL = 512.0
 
 
 def _in_cells(df: DataFrame, box: str, cell: float) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
+from ..sources.shared import written
+from .overlaps import CELL, overlapping, suppressed
 
 
 def first_by_key(df: DataFrame, key: str, order: list, history: DataFrame | None = None) -> DataFrame:
@@ -78,18 +79,35 @@ def top_k_per_class(df: DataFrame, cls: str, order: list, k: int) -> DataFrame:
     return ranked.withColumn("short", F.lit(k) - F.count(F.lit(1)).over(w))
 
 
-def nms(df: DataFrame, image: str, box: str, conf: str, order: list[str], threshold: float = 0.5, least: float | None = None) -> DataFrame:
+#: Overlapping pairs from which an image's greedy choices are settled in rounds of joins instead of one fold.
+CROWDED = 20_000
+
+
+def crowded(pairs: DataFrame, image: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """pairs of the images with `most` of them at most, and those of the others, None where there are none."""
+    full = pairs.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(image)
+    if not full.limit(1).count():
+        return pairs, None
+    full = written(full, "crowded")
+    return pairs.join(full, image, "left_anti"), pairs.join(full, image, "left_semi")
+
+
+def nms(df: DataFrame, image: str, box: str, conf: str, order: list[str], threshold: float = 0.5, least: float | None = None, cell: float = CELL, most: int = CROWDED) -> DataFrame:
     """Greedy non-maximum suppression per image, across classes: rows kept, by falling confidence then order.
 
-    least: scores must be above it (one exactly at it is dropped). Only overlapping pairs go into an image's greedy pass.
+    least: scores must be above it (one exactly at it is dropped). Boxes meet in grid cells of a side of `cell`; an image
+    with more than `most` overlapping pairs is settled in rounds of joins, any other in one fold, with the same result.
     """
     rows = df if least is None else df.where(F.col(conf) > least)
     placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(conf), *order)))
-    side = lambda x: placed.select(image, F.col("_at").alias(x), F.col(box).alias(f"{x}_box"))
-    over = side("_i").join(side("_j"), image).where((F.col("_i") < F.col("_j")) & (iou(F.col("_i_box"), F.col("_j_box")) > threshold))
+    side = lambda x, at: placed.select(image, F.col("_at").alias(at), F.col(box).alias(f"{x}_box"))
+    over = overlapping(side("left", "_i"), side("right", "_j"), image, "box", F.col("_i") < F.col("_j"), cell).where(F.col("iou") > threshold).select(image, "_i", "_j")
+    over, full = crowded(written(over, "overlaps"), image, most)
     lists = over.groupBy(image, "_j").agg(F.collect_list("_i").alias("before")).groupBy(image).agg(F.array_sort(F.collect_list(F.struct("_j", "before"))).alias("lists"))
     stays = lambda gone, x: F.exists(x["before"], lambda i: ~F.array_contains(gone, i))
     gone = lists.select(image, F.explode(F.aggregate("lists", F.array().cast("array<int>"), lambda gone, x: F.when(stays(gone, x), F.array_append(gone, x["_j"])).otherwise(gone))).alias("_at"))
+    if full is not None:
+        gone = gone.unionByName(suppressed(full, image).withColumnRenamed("_j", "_at"))
     return placed.join(gone, [image, "_at"], "left_anti").select(*df.columns)
 
 
