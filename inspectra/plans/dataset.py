@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -573,21 +576,39 @@ def daily_counters(spark: SparkSession, sf: str) -> DataFrame:
     return _landed(R.daily_counts(stream, "ts", "event_type", "0 seconds"), at).select(F.col("day").cast("string").alias("day"), "event_type", "n")
 
 
-@query(f"WITH {ACTIONS} SELECT action_id, row_number() OVER (PARTITION BY review_id ORDER BY ts, action_id) = 1 AS accepted FROM actions")
-def streamed_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """The review state machine over the stream of actions; one batch here, so its order is the batch's."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+def _actions(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     stream, at = _stream(spark, sf, ["user_id", "event_id", "event_type", "ts"])
     kinds = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "click", "correct").otherwise("reject")
-    acts = stream.where(F.col("event_type").isin("purchase", "click", "error")).select(F.col("user_id").alias("review_id"), F.col("event_id").alias("action_id"), kinds.alias("action"), F.col("ts").cast("timestamp").alias("ts"))
+    return stream.where(F.col("event_type").isin("purchase", "click", "error")).select(F.col("user_id").alias("review_id"), F.col("event_id").alias("action_id"), kinds.alias("action"), F.col("ts").cast("timestamp").alias("ts")), at
+
+
+def _with_rocksdb(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     spark.conf.set(name, R.ROCKSDB)
     try:
-        return _landed(R.review_stream(acts), at).select("action_id", "accepted")
+        return work()
     finally:
         spark.conf.set(name, before)
 
 
+@query(f"WITH {ACTIONS} SELECT action_id, row_number() OVER (PARTITION BY review_id ORDER BY ts, action_id) = 1 AS accepted FROM actions")
+def streamed_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """The review state machine over the stream of actions; one batch here, so its order is the batch's."""
+    acts, at = _actions(spark, sf)
+    return _with_rocksdb(spark, lambda: _landed(R.review_stream(acts), at)).select("action_id", "accepted")
+
+
+CLOSED = "closed AS (SELECT * FROM actions WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM actions) - INTERVAL 6 HOUR)"
+
+
+@query(f"WITH RECURSIVE {ACTIONS}, {CLOSED}, opened AS (SELECT review_id, min(ts) AS at FROM closed GROUP BY 1 UNION ALL SELECT o.review_id, min(c.ts) FROM opened o JOIN closed c ON c.review_id = o.review_id AND c.ts > o.at + INTERVAL 2 DAY GROUP BY 1) SELECT c.action_id, o.at IS NOT NULL AND row_number() OVER (PARTITION BY c.review_id, c.ts ORDER BY c.action_id) = 1 AS accepted FROM closed c LEFT JOIN opened o ON o.review_id = c.review_id AND o.at = c.ts")
+def review_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds of two days over the stream of actions, settled six hours behind the newest."""
+    acts, at = _actions(spark, sf)
+    return _with_rocksdb(spark, lambda: _landed(R.review_rounds(acts, "6 hours", timedelta(days=2)), at)).select("action_id", "accepted")
+
+
 @query("SELECT event_id, event_type FROM events")
 def resumed_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The feed run twice with one checkpoint: the second run finds nothing new."""

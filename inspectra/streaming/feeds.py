@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
@@ -93,6 +95,67 @@ def review_stream(actions: DataFrame) -> DataFrame:
     return actions.groupBy("review_id").transformWithStateInPandas(ReviewState(), schema, "Append", "none")
 
 
+class ReviewRounds(StatefulProcessor):
+    """Actions wait in the state until the watermark has passed them, and are then settled in the order (time, action_id).
+
+    pending holds the waiting actions of a key by millisecond, as JSON; opened is the time of the key's accepted action.
+    Both are cleared once the round is over, so a key that is no longer used leaves no state behind.
+    """
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "at long", "actions string")
+        self.opened = handle.getValueState("opened", "us long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for at, some in part.groupby(-(-part["us"] // 1000)):
+                at = int(at)
+                waiting = json.loads(self.pending.getValue((at,))[0]) if self.pending.containsKey((at,)) else []
+                waiting += [[int(us), int(i), a] for us, i, a in zip(some["us"], some["action_id"], some["action"])]
+                self.pending.updateValue((at,), (json.dumps(waiting),))
+                self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = int(expiredTimerInfo.getExpiryTimeInMs())
+        opened = self.opened.get()[0] if self.opened.exists() else None
+        before, out = opened, []
+        if self.pending.containsKey((at,)):
+            for us, i, action in sorted(json.loads(self.pending.getValue((at,))[0]), key=lambda x: x[:2]):
+                accepted = opened is None or us > opened + self.keep
+                opened = us if accepted else opened
+                out.append((key[0], i, action, accepted))
+            self.pending.removeKey((at,))
+        if opened is not None and at * 1000 > opened + self.keep:
+            self.opened.clear()
+        elif opened != before:
+            self.opened.update((opened,))
+            self.handle.registerTimer((opened + self.keep) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["review_id", "action_id", "action", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def review_rounds(actions: DataFrame, delay: str, keep: timedelta) -> DataFrame:
+    """review_id, action_id, action and accepted of a stream of actions (review_id, action_id, action, ts).
+
+    The first action of a review by (ts, action_id) is accepted and opens a round of length keep; the others of the round
+    conflict; the first after it opens the next. An action is settled when the watermark, delay behind the newest ts, has
+    passed it, so any cut of the feed into files whose rows are at most delay out of order gives the same rows. Spark leaves
+    out rows that come later than that, and counts them in the query's progress; rows without a review or a ts are left out
+    too. Needs the RocksDB state store provider (ROCKSDB).
+    """
+    schema = "review_id long, action_id long, action string, accepted boolean"
+    timed = actions.where("review_id is not null and ts is not null").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("review_id").transformWithStateInPandas(ReviewRounds(keep // timedelta(microseconds=1)), schema, "Append", "EventTime")
+
+
 def split_sink(ok: Column, good: str, bad: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows go to one of two Parquet tables."""
 

@@ -268,6 +268,30 @@ def test_streams(spark, tmp_path):
     assert sorted(r["action_id"] for r in spark.read.parquet(str(tmp_path / "out")).where("accepted").collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_review_rounds_do_not_depend_on_the_cut_into_files(spark, tmp_path, files):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    draw = np.random.default_rng(3)
+    minute = np.arange(400) + draw.integers(0, 20, 400)  # at most 20 minutes out of order
+    acts = [(int(r), i, "approve", start + timedelta(minutes=int(m))) for i, (r, m) in enumerate(zip(draw.integers(0, 5, 400), minute))]
+    acts += [(None, 900, "approve", start), (1, 901, "approve", None), (9, 902, "reject", start + timedelta(hours=9))]  # the last moves the watermark
+    schema = spark.createDataFrame([], "review_id long, action_id long, action string, ts timestamp").schema
+    bounds = np.linspace(0, len(acts), files + 1).astype(int)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        spark.createDataFrame(acts[a:b], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = R.inspection_stream(spark, str(tmp_path / "in"), schema, 1)
+        R.to_parquet(R.review_rounds(stream, "30 minutes", timedelta(hours=1)), str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination()
+    opened, want = {}, []
+    for r, i, _, ts in sorted((a for a in acts if a[0] is not None and a[3] is not None and a[0] != 9), key=lambda a: (a[3], a[1])):
+        accepted = r not in opened or ts > opened[r] + timedelta(hours=1)
+        opened[r] = ts if accepted else opened[r]
+        want.append((i, r, accepted))
+    got = sorted((r["action_id"], r["review_id"], r["accepted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(want) and 20 < sum(a for _, _, a in want) < 60
+
+
 def test_predict_batch_keeps_failures(spark):
     def scorer():
         def score(part):
