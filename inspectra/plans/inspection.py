@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,9 @@ from ..operators import decisions as D
 from ..operators import joins as J
 from ..operators import windows as W
 from ..operators import workflow as M
-from ..sources import files, sinks
+from ..sources import files, sinks, versions
 from .registry import query
-from .standins import ACTIONS, DECISION, DOCUMENTS, INSPECTIONS, LABELS, MODELS, actions, documents, inspections, label_texts, models, table
+from .standins import ACTIONS, DECISION, DOCUMENTS, INSPECTIONS, LABELS, MODELS, actions, documents, inspections, label_texts, models, shared_folder, table
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,6 +326,22 @@ def inserted_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return M.insert_absent(p.where("p_partkey % 3 <> 0"), p.where("p_partkey % 3 = 0"), ["p_name", "p_size"]).select("p_name", "p_size")
 
 
+@query("""WITH seen AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
+first AS (SELECT coalesce(k, c_custkey) AS k, coalesce(n, c_nationkey) AS n FROM (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer) FULL JOIN seen ON c_custkey = k)
+SELECT k, n, 3 AS version FROM first UNION ALL SELECT -1 - s_suppkey, s_nationkey, 3 FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 1 FROM customer""")
+def changed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as a table of buckets, changed by their orders and then by suppliers that it lacks; its last and first version."""
+    root = f"{shared_folder(spark)}/changed-{uuid.uuid4().hex}"
+    rows = lambda name, k, n: table(spark, sf, name).select(F.expr(k).cast("long").alias("k"), F.expr(n).cast("long").alias("n"))
+    customers = rows("customer", "c_custkey", "c_nationkey")
+    versions.create_table(customers, root, ["k"], 16)
+    versions.change_table(table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n")), root, ["k"])
+    both = customers.unionByName(rows("supplier", "-1 - s_suppkey", "s_nationkey"))
+    last = versions.change_table(both, root, ["k"], replace=False)
+    at = lambda v: versions.read_version(spark, root, v).withColumn("version", F.lit(v))
+    return at(last).unionByName(at(1))
+
+
 @query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY 1")
 def current_states(spark: SparkSession, sf: str) -> DataFrame:
     return M.current_state(table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
