@@ -46,23 +46,62 @@ def split_hash_leakage(train: DataFrame, val: DataFrame, name: str, hash: str) -
     return train.select(F.col(name).alias("train_name"), hash).join(last, hash)
 
 
-def near_duplicates(df: DataFrame, id: str, hash64: str, content_hash: str, t: int, bits: int = 64) -> DataFrame:
+def _low(n: Column) -> Column:
+    """The n lowest bits, n from 0 to 64."""
+    return F.when(n > 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n)).otherwise(F.lit(0).cast("long"))
+
+
+def _banded(rows: DataFrame, t: int) -> DataFrame:
+    """rows (h, key, rest, left) once for each of t + 1 bands of the left lowest bits of rest: key takes up the band and its
+    value, rest keeps the other bits, moved together."""
+    cut = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(t))))
+    start = lambda i: F.floor(i * F.col("left") / (t + 1)).cast("int")
+    cut = cut.withColumns({"a": start(F.col("i")), "b": start(F.col("i") + 1)})
+    right = lambda x, n: F.call_function("shiftrightunsigned", F.col(x), n)
+    value = right("rest", F.least("a", F.lit(63))).bitwiseAND(_low(F.col("b") - F.col("a")))
+    above = F.when(F.col("b") < 64, F.call_function("shiftleft", right("rest", F.col("b")), F.col("a"))).otherwise(F.lit(0).cast("long"))
+    return cut.select("h", F.xxhash64("key", "i", value).alias("key"), above.bitwiseOR(F.col("rest").bitwiseAND(_low(F.col("a")))).alias("rest"), (F.col("left") - F.col("b") + F.col("a")).alias("left"))
+
+
+def hash_buckets(hashes: DataFrame, t: int, bits: int = 64, crowd: int = 2000) -> DataFrame:
+    """h and key for distinct hashes h, such that two hashes that differ in at most t of the lowest bits share a key.
+
+    t + 1 disjoint bands of bits: two such hashes agree in one band at least. A band value that more than crowd hashes have
+    is cut again by t + 1 bands of its other bits, in which two such hashes differ in at most t bits as well, and so on. A
+    key whose hashes have at most t bits left is not cut: all its pairs are within t. So no key holds more than crowd
+    hashes but for pairs that are all results.
+    """
+    rows = _banded(hashes.select("h", F.lit(0).cast("long").alias("key"), F.col("h").bitwiseAND(_low(F.lit(bits))).alias("rest"), F.lit(bits).alias("left")), t)
+    done: DataFrame | None = None
+    while True:
+        rows = written(rows, "bands")
+        many = rows.where(F.col("left") > t).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key")
+        if many.isEmpty():
+            last = rows.select("h", "key")
+            return last if done is None else done.unionByName(last)
+        many = written(many, "crowded-bands")
+        few = rows.join(many, "key", "left_anti").select("h", "key")
+        done = few if done is None else done.unionByName(few)
+        rows = _banded(rows.join(many, "key", "left_semi").select("h", "key", "rest", "left"), t)
+
+
+def near_duplicates(df: DataFrame, id: str, hash64: str, content_hash: str, t: int, bits: int = 64, crowd: int = 2000) -> DataFrame:
     """Pairs (first_id < second_id) whose hashes differ in at most t bits and whose contents differ; distance.
 
-    t + 1 disjoint bands of bits, of sizes that differ by at most one: two such hashes agree in one band at least, so an
-    equi-join on (band, value) finds all. With t >= bits a band is empty and all pairs meet, as all are within t.
-    Equal rows (hash and content) are joined once and multiplied at the end, so a hot image costs its own size.
+    Distinct hashes meet through hash_buckets, which loses no pair and cuts crowded band values; the hashes' contents and
+    rows are joined afterwards, so equal rows and contents cost their own size. Rows with a null hash or content pair with
+    nothing.
     """
-    starts = [i * bits // (t + 1) for i in range(t + 2)]
-    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("h"), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
-    kinds = df.select(F.col(hash64).alias("h"), F.col(content_hash).alias("c")).distinct()
-    cut = kinds.select("h", "c", F.explode(F.array(*bands)).alias("b")).select("h", "c", "b.band", "b.value")
-    a, b = cut.toDF("h1", "c1", "band", "value"), cut.toDF("h2", "c2", "band", "value")
-    close = a.join(b, ["band", "value"]).where((F.struct("h1", "c1") < F.struct("h2", "c2")) & (F.col("c1") != F.col("c2")) & (hamming(F.col("h1"), F.col("h2")) <= t))
-    pairs = close.select("h1", "c1", "h2", "c2").distinct()
+    kinds = df.select(F.col(hash64).alias("h"), F.col(content_hash).alias("c")).where("h is not null and c is not null").distinct()
+    met = hash_buckets(kinds.select("h").distinct(), t, bits, crowd)
+    close = met.toDF("h1", "key").join(met.toDF("h2", "key"), "key").where((F.col("h1") < F.col("h2")) & (hamming(F.col("h1"), F.col("h2")) <= t))
+    hashes = close.select("h1", "h2").distinct()
+    one, two = kinds.toDF("h1", "c1"), kinds.toDF("h2", "c2")
+    unlike = hashes.join(one, "h1").join(two, "h2").where("c1 <> c2").select("h1", "c1", "h2", "c2")
+    same = one.join(two, F.col("h1") == F.col("h2")).where("c1 < c2").select("h1", "c1", "h2", "c2")
     rows = df.select(F.col(id).alias("i"), F.col(hash64).alias("h"), F.col(content_hash).alias("c"))
-    met = pairs.join(rows.toDF("i1", "h1", "c1"), ["h1", "c1"]).join(rows.toDF("i2", "h2", "c2"), ["h2", "c2"])
-    return met.select(F.least("i1", "i2").alias("first_id"), F.greatest("i1", "i2").alias("second_id"), hamming(F.col("h1"), F.col("h2")).alias("distance"))
+    pairs = unlike.unionByName(same).join(rows.toDF("i1", "h1", "c1"), ["h1", "c1"]).join(rows.toDF("i2", "h2", "c2"), ["h2", "c2"])
+    return pairs.select(F.least("i1", "i2").alias("first_id"), F.greatest("i1", "i2").alias("second_id"), hamming(F.col("h1"), F.col("h2")).alias("distance"))
 
 
 def near_leakage(df: DataFrame, id: str, hash64: str, content_hash: str, split: str, t: int, bits: int = 64) -> DataFrame:

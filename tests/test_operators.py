@@ -79,6 +79,27 @@ def test_banded_join_equals_brute_force(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and bits(a[1], b[1]) <= 4}
 
 
+@pytest.mark.parametrize(("t", "bits"), [(0, 64), (2, 64), (4, 63)])
+def test_crowded_band_values_are_cut_again_without_loss(spark, t, bits):
+    draw = np.random.default_rng(t)
+    near = [0x0FF0_1234_5678_0000 | int(x) for x in draw.integers(0, 1 << 16, 250)]  # one value in most bands
+    far = [int(x) for x in draw.integers(0, 1 << 62, 100)] + ([-5, -6, 1 << 62] if bits == 64 else [])
+    hashes = sorted(set(near + far + [h ^ 1 << int(draw.integers(0, 62)) for h in near[:80]]))
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    met = J.hash_buckets(df, t, bits, crowd=12).collect()
+    keys = {}
+    for r in met:
+        keys.setdefault(r["key"], set()).add(r["h"])
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    shared = {(a, b) for k in keys.values() for a in k for b in k if a < b and apart(a, b) <= t}
+    assert shared == {(a, b) for a in hashes for b in hashes if a < b and apart(a, b) <= t} and (t == 0 or shared)
+    assert all(len(k) <= 12 or max(apart(a, b) for a in k for b in k) <= t for k in keys.values())
+    rows = [(i, h, str(h % 3)) for i, h in enumerate(hashes)] + [(9001, None, "x"), (9002, hashes[0], None), (9003, hashes[0], "other")]
+    got = {tuple(r) for r in J.near_duplicates(spark.createDataFrame(rows, "i long, h long, c string"), "i", "h", "c", t, bits, crowd=12).collect()}
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    assert got == {(a[0], b[0], apart(a[1], b[1])) for a in known for b in known if a[0] < b[0] and a[2] != b[2] and apart(a[1], b[1]) <= t}
+
+
 def test_near_duplicates_that_differ_in_every_wider_band(spark):
     for t, bits in ((14, 63), (16, 63), (0, 64)):
         size = -(-bits // (t + 1))
