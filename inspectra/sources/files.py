@@ -38,7 +38,7 @@ def decode_images(spark: SparkSession, root: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, root: str) -> DataFrame:
     """path, line and value of every non-blank line of the text files below root."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(root)
+    texts = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     return scan_label_lines(texts.select(F.col("_metadata.file_path").alias("path"), "value").withColumnRenamed("value", "text"), "text").drop("text")
 
 
@@ -57,7 +57,7 @@ def parse_reports(df: DataFrame, json: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, glob: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).text(glob)
+    texts = spark.read.text(glob, wholetext=True)
     return parse_reports(texts.select(F.col("_metadata.file_path").alias("path"), "value"), "value").drop("value")
 
 
