@@ -1,6 +1,6 @@
 """Composed queries over the business tables and their SQL twins."""
 
-from . import dataset, inspection, jobs, rasters
+from . import annotated, dataset, inspection, jobs, rasters
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dataset", "inspection", "jobs", "rasters"]
+__all__ = ["ORACLES", "QUERIES", "annotated", "dataset", "inspection", "jobs", "rasters"]
