@@ -30,23 +30,29 @@ def _labels(spark: SparkSession, sf: str, bad: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).select("doc_id", "split", F.col("hash").alias("md5"), F.col("lang").alias("class"))
+    """Documents as images; the hashes of an even document and the next one differ in a bit."""
+    pair = F.md5(F.floor(F.col("doc_id") / 2).cast("long").cast("string"))
+    dhash = F.conv(F.substring(pair, 1, 15), 16, 10).cast("long").bitwiseXOR(F.col("doc_id") % 2)
+    d = documents(spark, sf).select("doc_id", "split", F.col("hash").alias("md5"), F.col("lang").alias("class"), dhash.alias("dhash"))
     stem = F.col("doc_id").cast("string")
     return image_measures(spark, sf).join(d, "doc_id").withColumns({"stem": stem, "path": F.concat(stem, F.lit(".png"))})
 
 
+NEAR = """hashed AS (SELECT doc_id, split, hash, xor(('0x' || substr(md5((doc_id // 2)::VARCHAR), 1, 15))::BIGINT, doc_id % 2) AS d FROM images),
+near AS (SELECT a.split AS s1, b.split AS s2 FROM hashed a JOIN hashed b ON a.doc_id < b.doc_id AND a.hash <> b.hash WHERE bit_count(xor(a.d, b.d)) <= 4)"""
 TINY = "0.1::DOUBLE * width < 4 OR 0.1::DOUBLE * height < 4 OR 0.1::DOUBLE * width * (0.1::DOUBLE * height) < 16"
 
 
-@query(f"""WITH {DOCUMENTS}, {MEASURES}, x AS (SELECT 'BLURRY_IMAGE' AS code FROM m WHERE blur < 80 UNION ALL SELECT 'OVEREXPOSED_IMAGE' FROM m WHERE bright >= 0.8::DOUBLE UNION ALL SELECT 'UNDEREXPOSED_IMAGE' FROM m WHERE dark >= 0.8::DOUBLE
+@query(f"""WITH {DOCUMENTS}, {MEASURES}, {NEAR}, x AS (SELECT 'BLURRY_IMAGE' AS code FROM m WHERE blur < 80 UNION ALL SELECT 'OVEREXPOSED_IMAGE' FROM m WHERE bright >= 0.8::DOUBLE UNION ALL SELECT 'UNDEREXPOSED_IMAGE' FROM m WHERE dark >= 0.8::DOUBLE
 UNION ALL SELECT 'MISSING_ANNOTATION' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'EMPTY_ANNOTATION' FROM labels WHERE quality = 0
 UNION ALL SELECT 'INVALID_CLASS' FROM labels WHERE quality = 1 AND toxic = 1 UNION ALL SELECT 'TINY_BOX' FROM labels JOIN m USING (doc_id) WHERE quality = 1 AND ({TINY})
 UNION ALL SELECT 'EXACT_DUPLICATE' FROM (SELECT row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS nth FROM images) WHERE nth > 1
-UNION ALL SELECT 'SPLIT_LEAKAGE' FROM (SELECT count(*) OVER (PARTITION BY hash) - count(*) OVER (PARTITION BY hash, split) AS links FROM images) WHERE links > 0)
+UNION ALL SELECT 'SPLIT_LEAKAGE' FROM (SELECT count(*) OVER (PARTITION BY hash) - count(*) OVER (PARTITION BY hash, split) AS links FROM images) WHERE links > 0
+UNION ALL SELECT 'NEAR_DUPLICATE' FROM near UNION ALL SELECT 'POTENTIAL_SPLIT_LEAKAGE' FROM near WHERE s1 <> s2)
 SELECT 'issues' AS part, code AS key, count(*)::DOUBLE AS value FROM x GROUP BY code UNION ALL SELECT 'classes', '0', count(*) FROM labels WHERE quality = 1 AND toxic = 0 UNION ALL SELECT 'summary', 'invalid_annotation_count', count(*) FROM x WHERE code IN ('MISSING_ANNOTATION', 'EMPTY_ANNOTATION', 'INVALID_CLASS', 'TINY_BOX')
 UNION ALL SELECT 'sizes', 'width_mean', round(avg(width), 2) FROM m""")
 def scan_quality(spark: SparkSession, sf: str) -> DataFrame:
-    out = X.scan_quality(_images(spark, sf), _labels(spark, sf, " "), 6, near=None)
+    out = X.scan_quality(_images(spark, sf), _labels(spark, sf, " "), 6)
     counts = out["issues"].groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     return shown(
         ("issues", counts, F.col("code"), F.col("n")), ("classes", out["classes"], F.col("class_id"), F.col("n")),
@@ -104,23 +110,30 @@ def inspect(spark: SparkSession, sf: str) -> DataFrame:
     return out["inspections"].join(opened, "inspection_id", "left").select("inspection_id", F.array_join("review_reasons", ",").alias("reasons"), "final_status", F.coalesce("opened", F.lit(False)).alias("opened"))
 
 
-@query(f"""WITH {ACTIONS}, f AS (SELECT review_id, arg_min(action, {{'t': ts, 'a': action_id}}) AS action, count(*) AS tries FROM actions GROUP BY 1), u AS (SELECT DISTINCT user_id AS review_id FROM events)
+@query(f"""WITH {ACTIONS}, f AS (SELECT review_id, arg_min(action, {{'t': ts, 'a': action_id}}) AS action, count(*) AS tries FROM actions GROUP BY 1), u AS (SELECT user_id AS review_id, count(*) AS entries, arg_max(event_type, {{'t': ts, 'a': event_type}}) AS last_entry FROM events GROUP BY 1)
 SELECT review_id, CASE action WHEN 'approve' THEN 'approved' WHEN 'correct' THEN 'corrected' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status, coalesce(tries - 1, 0) AS refused, CASE WHEN action = 'correct' THEN (CASE WHEN review_id % 3 = 0 THEN 'normal' ELSE 'c' || (review_id % 3) END) END AS label,
-CASE WHEN action = 'correct' AND review_id % 3 > 0 THEN 1 ELSE 0 END::BIGINT AS lines, CASE WHEN action = 'correct' THEN 'exported' END AS export_status FROM u LEFT JOIN f USING (review_id)""")
+CASE WHEN action <> 'correct' OR action IS NULL THEN NULL WHEN review_id % 3 = 2 THEN 'dent,scratch' WHEN review_id % 5 = 0 THEN 'seen' WHEN review_id % 3 = 1 THEN 'c1' END AS classes,
+CASE WHEN action <> 'correct' OR action IS NULL THEN 0 WHEN review_id % 3 = 2 THEN 2 WHEN review_id % 5 = 0 OR review_id % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS lines, CASE WHEN action = 'correct' THEN 'exported' END AS export_status, entries, last_entry FROM u LEFT JOIN f USING (review_id)""")
 def review_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """Users as reviews, their events as actions; corrected ones get a label from their id and no boxes."""
-    users = table(spark, sf, "events").select(F.col("user_id").alias("review_id")).distinct()
+    """Users as reviews, their events as actions and as entries of the log. Corrected ones get a label from their id; every
+    third has boxes of its own, one of them normal, every fifth else the regions that were seen."""
+    events = table(spark, sf, "events")
+    users = events.select(F.col("user_id").alias("review_id")).distinct()
     reviews = users.select("review_id", F.col("review_id").alias("inspection_id"), F.lit("pending").alias("status"))
-    regions = F.lit(None).cast("array<struct<x1: double, y1: double, x2: double, y2: double, class_name: string>>")
+    frame = lambda name: F.struct(*[F.lit(x).alias(e) for e, x in zip(EDGES, (0.0, 0.0, 0.5, 0.5))], F.lit(name).alias("class_name"))
+    regions = F.when(F.col("review_id") % 5 == 0, F.array(frame("seen")))
     seen = users.select(F.col("review_id").alias("inspection_id"), F.lit(None).cast("string").alias("predicted_class"), regions.alias("regions"))
     label = F.when(F.col("review_id") % 3 == 0, "normal").otherwise(F.concat(F.lit("c"), (F.col("review_id") % 3).cast("string")))
-    fixed = users.select("review_id", label.alias("corrected_label"), regions.alias("corrected_boxes"))
+    own = F.when(F.col("review_id") % 3 == 2, F.array(frame("scratch"), frame("normal"), frame("dent")))
+    fixed = users.select("review_id", label.alias("corrected_label"), own.alias("corrected_boxes"))
     versions = spark.createDataFrame([("v0",)], "version string")
-    out = X.review_loop(reviews, seen, actions(spark, sf), fixed, versions, "v1")
+    logs = events.select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+    out = X.review_loop(reviews, seen, actions(spark, sf), fixed, versions, "v1", logs)
     refused = out["refused"].groupBy("review_id").agg(F.count(F.lit(1)).alias("refused"))
-    lines = out["lines"].groupBy("review_id").agg(F.count(F.lit(1)).alias("lines"))
+    lines = out["lines"].groupBy("review_id").agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.array_sort(F.collect_list("cls")), ",").alias("classes"))
+    told = out["history"].select("review_id", F.size("history").cast("long").alias("entries"), F.element_at("history", -1)["action"].alias("last_entry"))
     met = out["reviews"].select("review_id", "status").join(refused, "review_id", "left").join(out["samples"].select("review_id", "label", "export_status"), "review_id", "left").join(lines, "review_id", "left")
-    return met.na.fill(0, ["refused", "lines"])
+    return met.join(told, "review_id", "left").na.fill(0, ["refused", "lines"])
 
 
 DEEP = f"""WITH {VECTORS}, model AS (SELECT pos, avg(x) AS mean, greatest(stddev_pop(x), 0.0001) AS std FROM vectors WHERE label = 0 GROUP BY 1), deep AS (SELECT id, v.pos, label, abs((x - mean) / std) AS score FROM vectors v JOIN model m ON v.pos = m.pos),
@@ -181,11 +194,21 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return shown(*view, ("states", out["states"], F.col("status"), F.col("n")), ("latest_inspections", out["latest_inspections"], F.col("inspection_id"), one), ("latest_reviews", out["latest_reviews"], F.col("review_id"), one), ("latest_events", out["latest_events"], F.col("event_id"), one))
 
 
-@query("""SELECT 'd' || doc_id AS name, 'quality' AS kind, n_chars::DOUBLE AS value, lang AS generated_at FROM documents UNION ALL SELECT 'e' || event_id, 'benchmark', (event_id % 50 + 1)::DOUBLE, NULL FROM events WHERE event_id % 3 <> 0""")
+#: The benchmark reports with two providers, three batch sizes and a rate each.
+TIMED = BENCH.replace('"cpu", "batch_size": 4}', """"' || CASE WHEN user_id % 2 = 0 THEN 'cpu' ELSE 'gpu' END || '", "fps": ' || (event_id % 9 + 1) || ', "batch_size": ' || (user_id % 3 + 1) || '}""")
+
+
+@query("""WITH e AS (SELECT user_id % 3 + 1 AS batch, user_id % 2 AS gpu, avg(event_id % 50 + 1) AS latency, avg(event_id % 9 + 1) AS rate FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2), c AS (SELECT 'gpu@' || a.batch AS name, b.latency / a.latency AS x, a.rate / b.rate AS y FROM e a LEFT JOIN e b ON a.batch = b.batch AND b.gpu = 0 WHERE a.gpu = 1)
+SELECT 'd' || doc_id AS name, 'quality' AS kind, n_chars::DOUBLE AS value, lang AS generated_at FROM documents UNION ALL SELECT 'e' || event_id, 'benchmark', (event_id % 50 + 1)::DOUBLE, NULL FROM events WHERE event_id % 3 <> 0
+UNION ALL SELECT name, 'latency_speedup', round(x, 6), NULL FROM c UNION ALL SELECT name, 'throughput_speedup', round(y, 6), NULL FROM c""")
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("name"), F.expr(REPORT).alias("json"))
-    b = table(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("name"), F.expr(BENCH).alias("json"))
-    return X.reports(q, b, "json", "cpu")["all"].select("name", "kind", F.coalesce("total_images", "average_latency_ms").alias("value"), "generated_at")
+    b = table(spark, sf, "events").select(F.concat(F.lit("e"), "event_id").alias("name"), F.expr(TIMED).alias("json"))
+    out = X.reports(q, b, "json", "cpu")
+    listed = out["all"].select("name", "kind", F.coalesce("total_images", "average_latency_ms").alias("value"), "generated_at")
+    name = F.concat_ws("@", "selected_provider", F.col("selected_batch_size").cast("int"))
+    each = [out["compared"].select(name.alias("name"), F.lit(k).alias("kind"), F.round(k, 6).alias("value"), F.lit(None).cast("string").alias("generated_at")) for k in ("latency_speedup", "throughput_speedup")]
+    return reduce(lambda a, b: a.unionByName(b), [listed, *each])
 
 
 @query(f"WITH {MEASURES} SELECT doc_id AS path, 'BLURRY_IMAGE' AS code FROM m WHERE blur < 80 UNION ALL SELECT doc_id, 'OVEREXPOSED_IMAGE' FROM m WHERE bright >= 0.8::DOUBLE UNION ALL SELECT doc_id, 'UNDEREXPOSED_IMAGE' FROM m WHERE dark >= 0.8::DOUBLE UNION ALL SELECT doc_id, 'LOW_QUALITY' FROM labels WHERE quality = 0")
