@@ -35,12 +35,13 @@ def missing_images(spark: SparkSession, sf: str) -> DataFrame:
     return A.class_distribution(J.missing_images(table(spark, sf, "lineitem"), o, "l_orderkey"), "l_orderkey")
 
 
-STEMS = "a AS (SELECT doc_id % 700 AS stem, count(*) AS n FROM documents WHERE doc_id % 3 > 0 GROUP BY 1), b AS (SELECT doc_id % 900 AS stem, count(*) AS n FROM labels GROUP BY 1)"
+STEMS = "a AS (SELECT doc_id - (doc_id % 10 = 0)::INT AS stem, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT doc_id - (doc_id % 15 = 7)::INT AS stem, count(*) AS n FROM labels GROUP BY 1)"
 
 
 def _stems(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    a = table(spark, sf, "documents").where("doc_id % 3 > 0").select((F.col("doc_id") % 700).alias("stem"))
-    return a, table(spark, sf, "labels").select((F.col("doc_id") % 900).alias("stem"))
+    """Stems of all documents and of all labels; some ids stand for the one before, so that stems are missing and double."""
+    stem = lambda n, k: (F.col("doc_id") - (F.col("doc_id") % n == k).cast("int")).alias("stem")
+    return table(spark, sf, "documents").select(stem(10, 0)), table(spark, sf, "labels").select(stem(15, 7))
 
 
 @query(f"""WITH {STEMS} SELECT coalesce(a.stem, b.stem) AS stem, coalesce(a.n, 0) AS n_images, coalesce(b.n, 0) AS n_annotations, CASE WHEN a.n > 1 OR b.n > 1 THEN 'duplicate' WHEN b.n IS NULL THEN 'unmatched_image' WHEN a.n IS NULL THEN 'unmatched_annotation' ELSE 'matched' END AS state

@@ -273,13 +273,13 @@ def feedback_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    i = table(spark, sf, "lineitem").where("l_quantity > 45")
+    i = table(spark, sf, "lineitem")
     c = F.struct(F.lit(0.0).alias("x1"), (F.col("l_discount")).alias("y1"), F.lit(0.5).alias("x2"), (F.col("l_discount") + 0.4).alias("y2"), F.col("l_returnflag").alias("class_name"))
     rows = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", c.alias("c")))).alias("_r"))
     return rows.select(F.col("l_orderkey").alias("review_id"), F.when(F.col("l_orderkey") % 2 == 0, "normal").otherwise("defect").alias("label"), F.transform("_r", lambda x: x["c"]).alias("boxes"), F.when(F.col("l_orderkey") % 5 == 0, "exported").otherwise("pending").alias("export_status"), F.concat(F.lit("m"), (F.col("l_orderkey") % 3).cast("string")).alias("model_version"))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS review_id, l_returnflag AS cls, l_discount AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS box FROM lineitem WHERE l_quantity > 45 AND l_orderkey % 5 <> 0),
+@query("""WITH b AS (SELECT l_orderkey AS review_id, l_returnflag AS cls, l_discount AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS box FROM lineitem WHERE l_orderkey % 5 <> 0),
 f AS (SELECT cls, row_number() OVER (ORDER BY min({'r': review_id, 'b': box})) - 1 AS class_id FROM b GROUP BY cls)
 SELECT review_id, box, b.cls, class_id, printf('%d %.6f %.6f %.6f %.6f', class_id, 0.5::DOUBLE, (d + 0.5::DOUBLE), 1.0::DOUBLE, 1.0::DOUBLE) AS line FROM b JOIN f USING (cls)""")
 def exported_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,7 +291,7 @@ def exported_labels(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("review_id", F.col("box").cast("long").alias("box"), "cls", F.col("class_id").cast("long").alias("class_id"), "line")
 
 
-@query("""WITH s AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'normal' ELSE 'defect' END AS label FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'normal' ELSE 'defect' END AS label FROM lineitem GROUP BY 1)
 SELECT 'v1' AS dataset_version, count(*) AS sample_count, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM s GROUP BY 1)) AS classes, (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT 'm' || l_orderkey % 3 AS m FROM s)) AS models FROM s""")
 def export_manifest(spark: SparkSession, sf: str) -> DataFrame:
     told = F.array_join(F.transform(F.array_sort(F.map_entries("class_distribution")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
