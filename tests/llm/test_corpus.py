@@ -362,6 +362,54 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     assert out["score"].sum() > out["base_score"].sum() and (out["score"] > out["base_score"]).mean() > 0.75
 
 
+def test_score_gives_every_subword_through_attention(spark, monkeypatch):
+    import public_tokenizers
+
+    draw, sets, seen = np.random.default_rng(3), [], []
+    m = {k: v.astype("float32") for k, v in attention.fresh(draw.integers(1, 9, attention.IDS)).items()}
+    m["U"], m["G"] = draw.standard_normal(m["U"].shape).astype("float32"), draw.standard_normal(m["G"].shape).astype("float32")
+
+    def trained(sample, model, id_of, *rest):
+        seen.extend(lm.whole(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["later"], np.uint16)).tolist() for r in sample.collect())
+        return m
+
+    made = lm.Subsequent.__init__
+    monkeypatch.setattr(lm, "averaged", trained)
+    monkeypatch.setattr(lm.Subsequent, "__init__", lambda self, *a: sets.append(self) or made(self, *a))
+    some = ["straightforward", "straightforwardly", "uninteresting", "the", "x", "antidisestablishmentarianism", "zzqx" * 30]
+    rows = [(i, " ".join(some[k] for k in draw.integers(0, 7, 5 + i)), "s") for i in range(30)] + [(100, None, "s"), (101, "neverseen straightforwardest x", "s"), (102, "", "s")]
+    source = dict(ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    out = {r["doc_id"]: r for r in lm.score_texts(docs(spark, rows), **source).collect()}
+    coder, t = lm.Subwords(*source.values()), sets[0]
+    spelled = {i: [coder.encode(" " + w) for w in (x or "").split()] for i, x, _ in rows}
+    assert sorted(seen) == sorted([s for w in spelled[i] for s in w] for i in spelled if not out[i]["held_out"])
+    counts = Counter((tuple(w[: j + 1]), (w[j + 1 :] or [None])[0]) for i, x in spelled.items() if not out[i]["held_out"] for w in x for j in range(min(len(w), lm.CARRIED)))
+    totals = Counter()
+    for (begin, _), n in counts.items():
+        totals[begin] += n
+    first = t.border * attention.SIZE
+    for i, x in spelled.items():
+        steps = [(w[j], tuple(w[:j])) for w in x for j in range(len(w))] + [(None, ())]
+        ids = [attention.END if s is None else int(t.id_of[s]) for s, _ in steps]
+        inputs, padding, targets, _ = attention.windows(np.array(ids), np.array([0, len(ids)]))
+        y = attention.forward(m, inputs, padding)["y"].reshape(len(inputs), 2 * attention.SPAN, -1)[:, attention.SPAN :].reshape(-1, attention.DIM)
+        want, before = 0.0, None
+        for k, (s, begin) in enumerate(steps):
+            group = np.exp(y[k] @ m["G"] + m["g"])
+            p = np.concatenate([group[g] / group.sum() * (e := np.exp(y[k] @ m["U"][g] + m["c"][g])) / e.sum() for g in range(attention.GROUPS)])
+            own, opens = p[ids[k]] * (1 if s is None else np.exp(t.within[s])), p[first:].sum()
+            at = begin or before or ()
+            n = totals[at] if len(at) <= lm.CARRIED else 0
+            c = counts[(at, s if begin else None)] if len(at) <= lm.CARRIED else 0
+            worth = 5 + 3 * math.sqrt(n)
+            if begin:
+                want += math.log10((c + worth * own) / (n + worth))
+            else:
+                want += math.log10(own / opens) + (math.log10((c + worth * opens) / (n + worth)) if k else 0)
+            before = (*begin, s)
+        assert out[i]["score"] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_spelling_is_a_distribution_and_knows_pairs():
     keys = np.array([1 << 16 | 2, 1 << 16 | lm.NONE, 2 << 16 | lm.NONE])
     before, after = np.zeros(lm.NONE + 1), np.zeros(lm.NONE + 1)
