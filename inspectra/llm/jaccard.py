@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import give_back, keep, small_batches
 from .graph import components
 from .shingles import mixed, shingle_sets
 
@@ -61,11 +61,14 @@ def measured(docs: DataFrame, width: int, cells: int) -> DataFrame:
                 counts[(tokens & np.uint64(cells - 1)).astype(np.int64)] += 1  # two tokens of one text in a cell count once
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "uid", "slice", "counts"])
+            give_back()
         few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, min(SLICE, cells))
         for i, x in enumerate(few):
             if x.any():
                 none = pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["doc_id", "n", "uid", "slice", "counts"])
+        del counts, few
+        give_back()
 
     return docs.mapInArrow(measure, "doc_id long, n long, uid long, slice int, counts binary")
 
@@ -116,15 +119,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                     give_back()
         if held:
             yield batch()
+        del seen, held
+        give_back()
 
     return docs.select("text").mapInArrow(emit, "token long, uid long, n int, pos int")
 
 
-def give_back() -> None:
-    """Return Arrow's unused memory to the system: a worker that is used again keeps it otherwise."""
-    pa.default_memory_pool().release_unused()
-
-
 def least_shared(a: Column, b: Column, percent: int) -> Column:
     """Tokens that sets of sizes a and b must share at least."""
     return F.ceil(percent * (a + b) / (100 + percent))
@@ -192,6 +192,8 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             del rows
             give_back()
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+        del sets
+        give_back()
 
     met = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")

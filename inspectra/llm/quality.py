@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, unused
+from .common import give_back, keep, small_batches, unused
 
 #: A host is bad for a rule if its rate is above LIFT times the corpus rate with this probability.
 PROBABILITY, LIFT = 0.95, 1.0
@@ -58,6 +58,7 @@ def measures(text: Column) -> Column:
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             yield pd.DataFrame([measure(x) for x in part], columns=list(MEASURES), dtype="int64")
+            give_back()
 
     return F.pandas_udf(batches, SCHEMA)(text)
 
