@@ -35,8 +35,8 @@ from .tokens import pieces
 CAPACITY, END, PADDING = 2048, 1, 0.01
 #: Ways to cut a rest: after multiples of these, most whole first.
 WAYS = (2048, 1024, 512, 256)
-#: Distinct pieces of text whose ids a worker remembers, and bytes that go to the library at once.
-REMEMBERED, JOINED_BYTES = 600_000, 40_000
+#: Distinct pieces of text whose ids a worker remembers, bytes that go to the library at once, characters of texts encoded together.
+REMEMBERED, JOINED_BYTES, RUN = 600_000, 40_000, 400_000
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, way int, part int, place long"
 
 
@@ -100,7 +100,7 @@ class Encoder:
     def keep(self, group: list[str], ids: np.ndarray) -> None:
         """Cut the ids of joined pieces apart and remember them."""
         upto = np.concatenate([[0], np.cumsum(self.bytes[ids])])
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])
+        ends = np.cumsum([*map(len, group)] if all(map(str.isascii, group)) else [len(x.encode()) for x in group])
         at = np.searchsorted(upto, ends)
         if at[-1] < len(upto) and (upto[at] == ends).all() and upto[-1] == ends[-1]:
             raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
@@ -108,15 +108,32 @@ class Encoder:
         else:  # an id that stands for other bytes than its name says
             self.known.update((x, self.one(x)) for x in group)
 
-    def encode(self, text: str) -> bytes:
-        parts = pieces(text) if text else []
-        new = set(parts).difference(self.known)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the pieces that are new in any of them are learned together."""
+        parts = [pieces(x) if x else [] for x in texts]
+        every = set().union(*parts)
+        new = every.difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = set(parts)
+                new = every
             self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, parts))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in parts]
+
+
+def runs(texts: list[str], size: int) -> Iterator[list[str]]:
+    """The texts in order, in runs of `size` characters or one text."""
+    run: list[str] = []
+    held = 0
+    for x in texts:
+        if run and held + len(x) > size:
+            yield run
+            run, held = [], 0
+        run.append(x)
+        held += len(x)
+    if run:
+        yield run
 
 
 #: A worker's encoders by their files: kept from task to task.
@@ -149,8 +166,9 @@ def encoded_pieces(docs: DataFrame, files: tuple, end: int, capacity: int, ways:
             for begin in range(0, batch.num_rows, 256):
                 some = batch.slice(begin, 256)
                 rows: list[tuple] = []
-                for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"]):
-                    ids = encode(text.as_py()) + tail if text.is_valid else tail
+                coded = (x for run in runs([x or "" for x in some["text"].to_pylist()], RUN) for x in encode(run))
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), coded):
+                    ids += tail
                     n = len(ids) // 4
                     for a, b, way in cuts(n, capacity, ways):
                         key = (way, b - a)

@@ -141,3 +141,20 @@ def test_hot_lengths_spread_over_sequences(spark):
     per = Counter(r["sequence_id"] for r in out)
     assert len(out) == 3000 and max(per.values()) == 2048 // n and len(per) == -(-3000 // (2048 // n))
     assert len({(r["sequence_id"], r["offset"]) for r in out}) == 3000
+
+
+def test_texts_of_a_run_are_learned_together():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from inspectra.llm import histogram_packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, library = histogram_packing.Encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    learned, learn = [], coder.learn
+    coder.learn = lambda new: learned.extend(new) or learn(new)
+    texts = [f"alpha beta{i % 7} größe  two\nlines <|endoftext|> gamma{i} don't" for i in range(60)] + ["", "alpha beta1", " x ", "y" * 900]
+    got = [x for run in histogram_packing.runs(texts, 500) for x in coder.encode(run)]
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(learned) == len(set(learned))
+    assert [x for run in histogram_packing.runs(texts, 500) for x in run] == texts and max(sum(map(len, r)) for r in histogram_packing.runs(texts, 500) if len(r) > 1) <= 500
