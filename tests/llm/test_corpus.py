@@ -410,6 +410,38 @@ def test_score_gives_every_subword_through_attention(spark, monkeypatch):
         assert out[i]["score"] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
+def test_runs_of_megabytes_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, _):
+            return task
+
+    draw = np.random.default_rng(5)
+    spelled = np.array([f"{k:x}" for k in range(70_000)])
+    texts = pa.array([" ".join(spelled[draw.integers(0, len(spelled), 8_000)]) for _ in range(100)])
+    pieces = [h for _, _, _, h, _ in shingles.word_spans(texts, 100_000)]
+    tracemalloc.start()
+    long = [h for _, _, _, h, _ in shingles.word_spans(texts, lm.RUN)]
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    assert len(long) < len(pieces) and np.array_equal(np.concatenate(long), np.concatenate(pieces))
+    monkeypatch.setattr(lm, "keep", lambda task, _: task)
+    coder = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tracemalloc.reset_peak()
+    begin, rows = tracemalloc.get_traced_memory()[0], 0
+    for batch in lm.counted(Docs(), lambda: coder)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        assert batch.num_rows <= 50_000
+        rows += batch.num_rows
+    assert rows > 70_000 and tracemalloc.get_traced_memory()[1] - begin < 110e6
+    tracemalloc.stop()
+
+
 def test_spelling_is_a_distribution_and_knows_pairs():
     keys = np.array([1 << 16 | 2, 1 << 16 | lm.NONE, 2 << 16 | lm.NONE])
     before, after = np.zeros(lm.NONE + 1), np.zeros(lm.NONE + 1)
