@@ -3,8 +3,10 @@
 Entries become whole numbers (scaled and shifted), so sums and deviations are exact. The covariance itself is never formed:
 a pass over the rows multiplies it with a block of columns, X'(XQ)/n with centred rows, in the tasks that hold the rows;
 Spark adds up the parts by dimension. A filter is a three-term recurrence of such passes: the Chebyshev polynomial stays
-within 1 on the unwanted spectrum, from 0 to the smallest Ritz value of the block, and grows fast above it. QR and
-Rayleigh-Ritz follow. The result is certified when every wanted pair's residual is at the limit of double precision and the
+within 1 on the unwanted spectrum, from a bound below all eigenvalues to the smallest Ritz value of the block, and grows fast
+above it, however small the spread of the eigenvalues is beside their size (many vectors drawn alike leave it tiny). QR and
+Rayleigh-Ritz follow; pairs that are done are held and kept out of the filter, so that the rest is not lost beside them. The
+result is certified when every wanted pair's residual is at the limit of double precision and the
 unwanted rest, deflated, shows no larger eigenvalue: random columns outside the block go through a filter of their own.
 
 Only matrices of dimensions by block pass through the driver, never rows.
@@ -34,6 +36,9 @@ GUARD, DEGREE, MOST_FILTERS = 16, 8, 60
 RESIDUAL, FLAT = 1e-13, 1e-12
 #: Random columns that look for eigenvalues outside the block, passes over them, and what they may find above the last wanted.
 PROBES, PROBE_PASSES, ABOVE = 4, 16, 1e-6
+#: Passes that bound the eigenvalues from below, narrowest damped interval (a share of the largest eigenvalue), and the most that a
+#: filter may raise the largest above the damped ones: beyond it, rounding of the first columns would cover the others.
+LOW_PASSES, NARROW, RAISED = 12, 1e-10, 1e10
 #: Larger entries are dropped: their squares would leave what exact sums can hold.
 LARGEST = float(1 << 40)
 
@@ -98,9 +103,9 @@ class Centred:
         return float(self.added(lambda x: np.array([[float((x * x).sum())]]), 1)[0, 0]) / self.n
 
 
-def filtered(times, q: np.ndarray, degree: int, cut: float, top: float) -> np.ndarray:
-    """The Chebyshev polynomial of the covariance, scaled to 1 at `top`, times q: small on [0, cut], large above."""
-    e = c = cut / 2
+def filtered(times, q: np.ndarray, degree: int, low: float, cut: float, top: float) -> np.ndarray:
+    """The Chebyshev polynomial of the covariance, scaled to 1 at `top`, times q: small on [low, cut], large above."""
+    e, c = (cut - low) / 2, (cut + low) / 2
     sigma = first = e / (top - c)
     y, before = (times(q) - c * q) * (sigma / e), q
     for _ in range(degree - 1):
@@ -110,6 +115,43 @@ def filtered(times, q: np.ndarray, degree: int, cut: float, top: float) -> np.nd
     return y
 
 
+def damped(low: float, cut: float, top: float, degree: int) -> tuple[float, int]:
+    """The lower end of the damped interval that ends at `cut`, and the degree with which `top` is raised by RAISED at most."""
+    low = min(low, cut - NARROW * top)
+    rise = np.arccosh(max((2 * top - cut - low) / (cut - low), 1 + 1e-9))
+    return low, max(1, min(degree, int(np.log(2 * RAISED) / rise)))
+
+
+def outside_of(times, held: np.ndarray, inner: float):
+    """`times` for columns outside the held ones, whose own directions get the eigenvalue `inner`: one that a filter damps."""
+    if not held.shape[1]:
+        return times
+
+    def product(p: np.ndarray) -> np.ndarray:
+        inside = held @ (held.T @ p)
+        v = times(p - inside)
+        return v - held @ (held.T @ v) + inner * inside
+
+    return product
+
+
+def lowest(times, d: int, seed: int) -> float:
+    """A bound below the eigenvalues: the smallest Ritz value of a few block Lanczos steps, less its residual; 0 at least."""
+    basis, images = np.zeros((d, 0)), np.zeros((d, 0))
+    new = np.random.default_rng(seed + 2).standard_normal((d, min(PROBES, d)))
+    for _ in range(LOW_PASSES):
+        new = new[:, : d - basis.shape[1]]
+        if not new.shape[1]:
+            break
+        for _ in range(3):
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        basis, new = np.hstack([basis, new]), times(new)
+        images = np.hstack([images, new])
+    small = basis.T @ images
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    return max(0.0, values[0] - np.linalg.norm(images @ turn[:, 0] - basis @ turn[:, 0] * values[0]))
+
+
 class NotCertified(ArithmeticError):
     """The filters ended before residuals and rest were within their bounds."""
 
@@ -118,7 +160,8 @@ def leading(times, d: int, wanted: int, guard: int, degree: int, seed: int) -> t
     """Eigenvalues, falling, and eigenvectors of the covariance that `times` multiplies with, certified."""
     width = min(d, wanted + guard)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
-    last, share = np.inf, 1.0
+    low = lowest(times, d, seed) if width < d else 0.0
+    last, share, held = np.inf, 1.0, 0
     for _ in range(MOST_FILTERS):
         v = times(q)
         small = q.T @ v
@@ -129,28 +172,36 @@ def leading(times, d: int, wanted: int, guard: int, degree: int, seed: int) -> t
         if not top > 0:
             return np.zeros(0), np.zeros((d, 0))
         here = min(wanted, int((values > FLAT * top).sum()))
-        far = np.linalg.norm(v[:, :here] - q[:, :here] * values[:here], axis=0).max()
+        each = np.linalg.norm(v[:, :here] - q[:, :here] * values[:here], axis=0)
+        far = each.max()
         limit, stalled = RESIDUAL * top * d**0.5, far > last / 2
-        if (far <= limit or (stalled and far <= 100 * limit)) and nothing_above(times, q, values, here, seed):
+        if (far <= limit or (stalled and far <= 100 * limit)) and nothing_above(times, q, values, here, seed, low):
             return values[:here], q[:, :here]
         share, last = share * 0.7 if stalled else share, far  # equal eigenvalues at the block's edge: damp less of them
         if width == d:  # the block is the whole space: the pairs become exact by turning alone
             q = np.linalg.qr(q)[0]
-        else:
-            q = np.linalg.qr(filtered(times, q, degree, max(share * values[-1], FLAT * top), top))[0]
+            continue
+        done = int(np.argmax(np.append(each > RESIDUAL * top, True)))  # leading pairs that need no more filters
+        done = 0 if done == here else done  # nothing_above found more
+        share, held = share if done == held else 1.0, done
+        cut = max(low + share * (values[-1] - low), FLAT * top)
+        begin, passes = damped(low, cut, values[done], degree)
+        q = np.linalg.qr(np.hstack([q[:, :done], filtered(outside_of(times, q[:, :done], cut), q[:, done:], passes, begin, cut, values[done])]))[0]
     raise NotCertified(f"residual {far / top:.1e} of the largest eigenvalue after {MOST_FILTERS} filters")
 
 
-def nothing_above(times, q: np.ndarray, values: np.ndarray, wanted: int, seed: int) -> bool:
+def nothing_above(times, q: np.ndarray, values: np.ndarray, wanted: int, seed: int, low: float = 0.0) -> bool:
     """Whether random columns outside the block show no eigenvalue above the last wanted one, after a filter of the deflated
-    covariance that damps all up to the block's smallest Ritz value."""
+    covariance that damps all from `low` up to the block's smallest Ritz value."""
     if q.shape[1] >= len(q):
         return True
+    cut = max(values[-1], FLAT * values[0])
+    begin, passes = damped(low, cut, values[0], PROBE_PASSES)
+    deflated = outside_of(times, q, cut)
     outside = lambda p: p - q @ (q.T @ p)
-    deflated = lambda p: outside(times(outside(p)))
     p = outside(np.random.default_rng(seed + 1).standard_normal((len(q), min(PROBES, len(q) - q.shape[1]))))
-    p = np.linalg.qr(filtered(deflated, p, PROBE_PASSES, max(values[-1], FLAT * values[0]), values[0]))[0]
-    found = p.T @ deflated(p)
+    p = np.linalg.qr(outside(filtered(deflated, p, passes, begin, cut, values[0])))[0]
+    found = p.T @ outside(times(p))
     return np.linalg.eigvalsh((found + found.T) / 2)[-1] <= values[wanted - 1] * (1 + ABOVE) + FLAT * values[0]
 
 

@@ -63,6 +63,18 @@ def test_equal_eigenvalues_at_the_edge_of_the_block():
     assert np.allclose(found, values[:10], rtol=1e-11) and np.abs(axes[62:]).max() < 1e-9
 
 
+@pytest.mark.parametrize("n,spikes", [(600_000, 0), (6_000_000, 0), (6_000_000, 3)])
+def test_many_vectors_drawn_alike(n, spikes):
+    """The covariance of n vectors drawn alike: its eigenvalues differ by little of their size."""
+    draw = np.random.default_rng(n + spikes)
+    low = np.tril(draw.standard_normal((64, 64)), -1) + np.diag(np.sqrt(draw.chisquare(n - np.arange(64))))
+    for_spikes = draw.standard_normal((64, spikes))
+    c = low @ low.T / n + for_spikes @ for_spikes.T
+    found, axes = whitening.leading(lambda q: c @ q, 64, 32, 16, 8, 1)
+    values, want = np.linalg.eigh(c)
+    assert np.allclose(found, values[::-1][:32], rtol=1e-12) and np.allclose(np.abs((axes * want[:, ::-1][:, :32]).sum(axis=0)), 1, atol=1e-9)
+
+
 def test_deviations_beyond_a_long_are_null():
     x = np.array([[1 << 20, 0], [0, 0]])
     assert whitening.deviations(x, 2, [1 << 20, 0]).to_pylist() == [1 << 40, 1 << 40]
