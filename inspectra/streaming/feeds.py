@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -95,65 +97,137 @@ def review_stream(actions: DataFrame) -> DataFrame:
     return actions.groupBy("review_id").transformWithStateInPandas(ReviewState(), schema, "Append", "none")
 
 
+#: Groups that reviews are dealt to: state, timers and calls to the state store are by group, not by review or action.
+GROUPS = 256
+#: Actions of a group that are dealt to slots at once.
+DEALT = 200_000
+#: Waiting actions of a group.
+WAITING = pa.schema([("review_id", pa.int64()), ("us", pa.int64()), ("action_id", pa.int64()), ("action", pa.string())])
+#: Rounds of a group that are not over.
+OPENED = pa.schema([("review_id", pa.int64()), ("us", pa.int64())])
+
+
+def _bytes(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
+
+
+def settle(actions: pa.Table, opened: dict[int, int], keep: int) -> tuple[pa.Table, np.ndarray]:
+    """The actions by review, time and action_id, and which of them are accepted; opened: the time of each review's accepted
+    action, brought up to date."""
+    actions = actions.sort_by([("review_id", "ascending"), ("us", "ascending"), ("action_id", "ascending")])
+    review, us = actions["review_id"].to_numpy(), actions["us"].to_pylist()
+    accepted = np.zeros(len(review), bool)
+    begins = np.flatnonzero(np.append(True, review[1:] != review[:-1])) if len(review) else np.zeros(0, int)
+    for key, at, end in zip(review[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(review)]):
+        if key in opened:
+            at = bisect_right(us, opened[key] + keep, at, end)
+        while at < end:
+            accepted[at], opened[key] = True, us[at]
+            at = bisect_right(us, us[at] + keep, at + 1, end)
+    return actions, accepted
+
+
 class ReviewRounds(StatefulProcessor):
-    """Actions wait in the state until the watermark has passed them, and are then settled in the order (time, action_id).
+    """Actions of a group of reviews wait in the state until the watermark has passed them, and are then settled by review in
+    the order (time, action_id).
 
-    pending holds the waiting actions of a key by millisecond, as JSON; opened is the time of the key's accepted action.
-    Both are cleared once the round is over, so a key that is no longer used leaves no state behind.
+    pending holds the waiting actions by slots of time as long as a round, with the time of the slot's timer: its earliest
+    action; opened is the time of each review's accepted action while its round lasts, with the time when the last one is
+    over. What is settled or over is removed, so reviews that are no longer used leave no state behind.
     """
 
     def __init__(self, keep: int) -> None:
-        self.keep = keep
+        self.keep, self.width = keep, max(keep // 1000, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "at long", "actions string")
-        self.opened = handle.getValueState("opened", "us long")
+        self.pending = handle.getMapState("pending", "slot long", "at long, actions binary")
+        self.opened = handle.getValueState("opened", "at long, rounds binary")
+
+    def wait(self, slot: int, at: int, timer: int | None, actions: pa.Table) -> None:
+        """Keep a slot's actions; at: the earliest, timer: that which is set."""
+        self.pending.updateValue((slot,), (at, _bytes(actions)))
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = []
         for part in rows:
-            for at, some in part.groupby(-(-part["us"] // 1000)):
-                at = int(at)
-                waiting = json.loads(self.pending.getValue((at,))[0]) if self.pending.containsKey((at,)) else []
-                waiting += [[int(us), int(i), a] for us, i, a in zip(some["us"], some["action_id"], some["action"])]
-                self.pending.updateValue((at,), (json.dumps(waiting),))
-                self.handle.registerTimer(at)
+            held.append(pa.Table.from_pandas(part[WAITING.names], WAITING, preserve_index=False))
+            if sum(map(len, held)) >= DEALT:
+                self.deal(pa.concat_tables(held))
+                held.clear()
+        if held:
+            self.deal(pa.concat_tables(held))
         yield from ()
 
+    def deal(self, actions: pa.Table) -> None:
+        at = -(-actions["us"].to_numpy() // 1000)
+        slots = at // self.width
+        for slot in np.unique(slots).tolist():
+            here, timer = slots == slot, None
+            some, first = actions.filter(pa.array(here)), int(at[here].min())
+            if self.pending.containsKey((slot,)):
+                timer, before = self.pending.getValue((slot,))
+                some, first = pa.concat_tables([_table(before), some]), min(first, timer)
+            self.wait(slot, first, timer, some)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = int(expiredTimerInfo.getExpiryTimeInMs())
-        opened = self.opened.get()[0] if self.opened.exists() else None
-        before, out = opened, []
-        if self.pending.containsKey((at,)):
-            for us, i, action in sorted(json.loads(self.pending.getValue((at,))[0]), key=lambda x: x[:2]):
-                accepted = opened is None or us > opened + self.keep
-                opened = us if accepted else opened
-                out.append((key[0], i, action, accepted))
-            self.pending.removeKey((at,))
-        if opened is not None and at * 1000 > opened + self.keep:
+        expired, passed = int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs())
+        slot, over, rounds, reached = expired // self.width, None, {}, expired
+        if self.opened.exists():
+            over, data = self.opened.get()
+            rounds = dict(zip(*(c.to_pylist() for c in _table(data).columns)))
+        timer, data = self.pending.getValue((slot,)) if self.pending.containsKey((slot,)) else (None, None)
+        if timer == expired:
+            actions = _table(data)
+            at = -(-actions["us"].to_numpy() // 1000)
+            due = at <= passed
+            if due.all():
+                self.pending.removeKey((slot,))
+            else:
+                self.wait(slot, int(at[~due].min()), None, actions.filter(pa.array(~due)))
+            actions, accepted = settle(actions.filter(pa.array(due)), rounds, self.keep)
+            yield actions.select(["review_id", "action_id", "action"]).append_column("accepted", pa.array(accepted)).to_pandas()
+            reached = min((slot + 1) * self.width, passed + 1)
+        # what is not settled yet comes in this millisecond or later, though the watermark may be further on
+        rounds = {k: us for k, us in rounds.items() if us + self.keep > (reached - 1) * 1000}
+        end = -(-(max(rounds.values()) + self.keep) // 1000) + 1 if rounds else None
+        if over is not None and over not in (expired, end):
+            self.handle.deleteTimer(over)
+        if rounds:
+            self.opened.update((end, _bytes(pa.table([list(rounds), list(rounds.values())], schema=OPENED))))
+            if end != over:
+                self.handle.registerTimer(end)
+        elif over is not None:
             self.opened.clear()
-        elif opened != before:
-            self.opened.update((opened,))
-            self.handle.registerTimer((opened + self.keep) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["review_id", "action_id", "action", "accepted"])
 
     def close(self) -> None:
         pass
 
 
-def review_rounds(actions: DataFrame, delay: str, keep: timedelta) -> DataFrame:
+def review_rounds(actions: DataFrame, delay: str, keep: timedelta, groups: int = GROUPS) -> DataFrame:
     """review_id, action_id, action and accepted of a stream of actions (review_id, action_id, action, ts).
 
     The first action of a review by (ts, action_id) is accepted and opens a round of length keep; the others of the round
     conflict; the first after it opens the next. An action is settled when the watermark, delay behind the newest ts, has
     passed it, so any cut of the feed into files whose rows are at most delay out of order gives the same rows. Spark leaves
     out rows that come later than that, and counts them in the query's progress; rows without a review or a ts are left out
-    too. Needs the RocksDB state store provider (ROCKSDB).
+    too. Reviews are dealt to `groups` by hash; a task holds the actions of one group within a time of `keep`. The number stays
+    as it is for as long as a checkpoint is used. Needs the RocksDB state store provider (ROCKSDB).
     """
     schema = "review_id long, action_id long, action string, accepted boolean"
-    timed = actions.where("review_id is not null and ts is not null").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("review_id").transformWithStateInPandas(ReviewRounds(keep // timedelta(microseconds=1)), schema, "Append", "EventTime")
+    timed = actions.where("review_id is not null and ts is not null").withWatermark("ts", delay).withColumns({"us": F.unix_micros("ts"), "group": F.pmod(F.xxhash64("review_id"), F.lit(groups))})
+    return timed.groupBy("group").transformWithStateInPandas(ReviewRounds(keep // timedelta(microseconds=1)), schema, "Append", "EventTime")
 
 
 def split_sink(ok: Column, good: str, bad: str) -> Callable[[DataFrame, int], None]:

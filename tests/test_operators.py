@@ -313,6 +313,27 @@ def test_review_rounds_do_not_depend_on_the_cut_into_files(spark, tmp_path, file
     assert got == sorted(want) and 20 < sum(a for _, _, a in want) < 60
 
 
+def test_review_rounds_keep_state_by_group(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, draw = datetime(2024, 1, 1), np.random.default_rng(5)
+    acts = [(int(r), i, None if i % 9 == 0 else "approve", start + timedelta(minutes=int(m))) for i, (r, m) in enumerate(zip(draw.integers(0, 3000, 9000), draw.integers(0, 600, 9000)))]
+    acts.append((9999, 9999, "reject", start + timedelta(hours=18)))  # settles all others, over three rounds of time
+    schema = "review_id long, action_id long, action string, ts timestamp"
+    spark.createDataFrame(acts, schema).write.parquet(str(tmp_path / "in"))
+    stream = R.inspection_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    query = R.to_parquet(R.review_rounds(stream, "30 minutes", timedelta(hours=4)), str(tmp_path / "c"), str(tmp_path / "out"))
+    query.awaitTermination()
+    opened, want = {}, []
+    for r, i, _, ts in sorted(acts[:-1], key=lambda a: (a[3], a[1])):
+        accepted = r not in opened or ts > opened[r] + timedelta(hours=4)
+        opened[r] = ts if accepted else opened[r]
+        want.append((i, accepted))
+    assert sorted((r["action_id"], r["accepted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
+    states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(states) <= R.GROUPS * 5 and states[-1] <= R.GROUPS + 1  # by group and slot, not by action or review
+
+
 def test_predict_batch_keeps_failures(spark):
     def scorer():
         def score(part):
