@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import decode_detection, voc_to_center
 from ..sources import files, sinks
+from ..sources.shared import written
 from . import aggregates as A
 from . import checks as C
 from . import decisions as D
@@ -168,13 +169,13 @@ def evaluate(scored: Tables, labels: DataFrame, thresholds: tuple[float, float],
 
 
 def detection_errors(raw: DataFrame, row: Column, truth: DataFrame, order: list[str], layout: str = "xyxy", confidence: float = 0.25, overlap: float = 0.5) -> Tables:
-    """detections (decoded and suppressed), matches, and errors by type, by image and by item.
+    """detections (decoded and suppressed; written once), matches, and errors by type, by image and by item.
 
     raw: image, columns of order and of `row` (an array per detection). truth: image, item, box, cls, columns of order.
     """
     found = raw.withColumn("d", decode_detection(row, layout, confidence)).where("d is not null")
     found = found.select("image", *order, F.col("d.box").alias("box"), F.col("d.confidence").alias("conf"), F.col("d.class_id").cast("string").alias("cls"))
-    kept = W.nms(found, "image", "box", "conf", order, overlap)
+    kept = written(W.nms(found, "image", "box", "conf", order, overlap), "detections")
     matches = J.match_boxes(truth, kept, "image", "box", "cls", order, overlap)
     return {"detections": kept, "matches": matches, "by_type": A.error_tally(matches), "by_image": A.error_tally(matches, by=["image"]), "by_item": A.error_items(matches)}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming
 from ..sources.shared import written
-from .overlaps import CELL, assigned, overlapping
+from .overlaps import CELL, FEW, apart, assigned, busy, outcomes_of_lists, overlapping
 from .windows import CROWDED, crowded
 
 
@@ -112,16 +112,28 @@ def near_leakage(df: DataFrame, id: str, hash64: str, content_hash: str, split:
     return out.where("first_split <> second_split")
 
 
-def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: str, order: list[str], threshold: float = 0.5, cell: float = CELL, most: int = CROWDED) -> DataFrame:
+def match_boxes(
+    truth: DataFrame, pred: DataFrame, image: str, box: str, cls: str, order: list[str], threshold: float = 0.5, cell: float = CELL, most: int = CROWDED, few: int = FEW
+) -> DataFrame:
     """Greedy matching in truth order, blind to class, the first best prediction winning; a row per outcome.
 
-    Boxes meet in grid cells of a side of `cell`, and only pairs of at least the threshold go into an image's greedy pass;
-    an image with more than `most` of them is settled in rounds of joins, with the same result. outcome: hit, class_error, missed (no prediction with IoU of at least the threshold left) or false_positive; at is the
-    1-based place of the truth, or of the prediction for a false positive. Images without truth rows are skipped.
+    An image with `few` boxes at most on either side is settled in lists. The boxes of the others meet in grid cells of a side
+    of `cell`, and only pairs of at least the threshold go into an image's greedy pass; an image with more than `most` of them is
+    settled in rounds of joins. The result is the same. outcome: hit, class_error, missed (no prediction with IoU of at least the
+    threshold left) or false_positive; at is the 1-based place of the truth, or of the prediction for a false positive. Images
+    without truth rows are skipped.
     """
     w = Window.partitionBy(image).orderBy(*order)
     placed = lambda df: df.select(image, F.row_number().over(w).alias("at"), F.col(box).alias("box"), F.col(cls).cast("string").alias("cls"))
-    t, p = placed(truth), placed(pred)
+    many = busy(image, few, truth, pred)
+    if many is None:
+        return outcomes_of_lists(placed(truth), placed(pred), image, threshold)
+    (small_t, large_t), (small_p, large_p) = apart(truth, image, many), apart(pred, image, many)
+    settled = outcomes_of_lists(placed(small_t), placed(small_p), image, threshold)
+    return settled.unionByName(_matched_in_cells(placed(large_t), placed(large_p), image, threshold, cell, most))
+
+
+def _matched_in_cells(t: DataFrame, p: DataFrame, image: str, threshold: float, cell: float, most: int) -> DataFrame:
     met = overlapping(t.toDF(image, "t", "left_box", "t_cls"), p.toDF(image, "p", "right_box", "p_cls"), image, "box", None, cell)
     rated = met.where(F.col("iou") >= threshold).select(image, "t", "p", F.coalesce(F.col("t_cls") == F.col("p_cls"), F.lit(False)).alias("same"), "iou")
     rated, full = crowded(written(rated, "offers"), image, most)
@@ -138,7 +150,7 @@ def match_boxes(truth: DataFrame, pred: DataFrame, image: str, box: str, cls: st
         pairs = pairs.unionByName(assigned(full, image))
     outcome = F.when(F.col("same").isNull(), "missed").when(F.col("same"), "hit").otherwise("class_error")
     hits = t.withColumnRenamed("at", "t").join(pairs.select(image, "t", "same"), [image, "t"], "left").select(image, F.col("t").alias("at"), outcome.alias("outcome"))
-    seen = p.join(truth.select(image).distinct(), image, "left_semi").join(pairs.select(image, F.col("p").alias("at")), [image, "at"], "left_anti")
+    seen = p.join(t.select(image).distinct(), image, "left_semi").join(pairs.select(image, F.col("p").alias("at")), [image, "at"], "left_anti")
     return hits.unionByName(seen.select(image, "at", F.lit("false_positive").alias("outcome")))
 
 

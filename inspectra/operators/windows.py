@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .overlaps import CELL, overlapping, suppressed
+from .overlaps import CELL, FEW, apart, busy, kept_of_lists, overlapping, suppressed
 
 
 def first_by_key(df: DataFrame, key: str, order: list, history: DataFrame | None = None) -> DataFrame:
@@ -92,14 +92,26 @@ def crowded(pairs: DataFrame, image: str, most: int) -> tuple[DataFrame, DataFra
     return pairs.join(full, image, "left_anti"), pairs.join(full, image, "left_semi")
 
 
-def nms(df: DataFrame, image: str, box: str, conf: str, order: list[str], threshold: float = 0.5, least: float | None = None, cell: float = CELL, most: int = CROWDED) -> DataFrame:
+def nms(
+    df: DataFrame, image: str, box: str, conf: str, order: list[str], threshold: float = 0.5, least: float | None = None, cell: float = CELL, most: int = CROWDED, few: int = FEW
+) -> DataFrame:
     """Greedy non-maximum suppression per image, across classes: rows kept, by falling confidence then order.
 
-    least: scores must be above it (one exactly at it is dropped). Boxes meet in grid cells of a side of `cell`; an image
-    with more than `most` overlapping pairs is settled in rounds of joins, any other in one fold, with the same result.
+    least: scores must be above it (one exactly at it is dropped). An image with `few` boxes at most is settled in a list. The
+    boxes of the others meet in grid cells of a side of `cell`; an image with more than `most` overlapping pairs is settled in
+    rounds of joins, any other in one fold. The result is the same.
     """
     rows = df if least is None else df.where(F.col(conf) > least)
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(conf), *order)))
+    place = lambda x: x.withColumn("_at", F.row_number().over(Window.partitionBy(image).orderBy(F.desc(conf), *order)))
+    many = busy(image, few, rows)
+    if many is None:
+        return kept_of_lists(place(rows), image, box, "_at", threshold).select(*df.columns)
+    small, large = apart(rows, image, many)
+    settled = kept_of_lists(place(small), image, box, "_at", threshold).select(*df.columns)
+    return settled.unionByName(_nms_in_cells(place(large), image, box, threshold, cell, most).select(*df.columns))
+
+
+def _nms_in_cells(placed: DataFrame, image: str, box: str, threshold: float, cell: float, most: int) -> DataFrame:
     side = lambda x, at: placed.select(image, F.col("_at").alias(at), F.col(box).alias(f"{x}_box"))
     over = overlapping(side("left", "_i"), side("right", "_j"), image, "box", F.col("_i") < F.col("_j"), cell).where(F.col("iou") > threshold).select(image, "_i", "_j")
     over, full = crowded(written(over, "overlaps"), image, most)
@@ -108,7 +120,7 @@ def nms(df: DataFrame, image: str, box: str, conf: str, order: list[str], thresh
     gone = lists.select(image, F.explode(F.aggregate("lists", F.array().cast("array<int>"), lambda gone, x: F.when(stays(gone, x), F.array_append(gone, x["_j"])).otherwise(gone))).alias("_at"))
     if full is not None:
         gone = gone.unionByName(suppressed(full, image).withColumnRenamed("_j", "_at"))
-    return placed.join(gone, [image, "_at"], "left_anti").select(*df.columns)
+    return placed.join(gone, [image, "_at"], "left_anti")
 
 
 def number_regions(df: DataFrame, image: str, order: list) -> DataFrame:

@@ -68,3 +68,22 @@ def test_a_crowded_image_ends(spark):
     assert sorted(r["n"] for r in W.nms(df, "image", "box", "conf", ["n"], 0.1, cell=64.0, most=100).collect()) == kept(rows, 0.1)
     none = df.limit(0)
     assert W.nms(none, "image", "box", "conf", ["n"]).count() == 0 and J.match_boxes(none, df, "image", "box", "cls", ["n"]).count() == 0
+
+
+def test_lists_and_cells_give_the_greedy_answer(spark):
+    rows, other = [x for k, n, images in ((0, 900, 60), (1, 120, 2), (2, 40, 1)) for x in [(1000 * k + r[0], *r[1:]) for r in drawn(k + 5, n, 60, images)]], drawn(9, 900, 60, 60) + [(1000, i, "a", 0.9, (x, x, x + 30.0, x + 30.0)) for i, x in enumerate((1.0, 9.0))]
+    df, pred = spark.createDataFrame(rows, BOXES), spark.createDataFrame(other, BOXES)
+    odd = spark.createDataFrame([(None, 1, "a", 0.9, (0.0, 0.0, 9.0, 9.0)), (None, 2, "a", 0.8, (0.0, 0.0, 9.0, 9.0)), (5000, 3, "a", 0.7, None), (5000, 4, "a", None, (0.0, 0.0, 9.0, 9.0))], BOXES)
+    for few in (0, 32, 1000):
+        assert sorted(r["n"] for r in W.nms(df, "image", "box", "conf", ["n"], 0.3, few=few).collect()) == kept(rows, 0.3)
+        assert sorted(r["n"] for r in W.nms(odd, "image", "box", "conf", ["n"], 0.3, few=few).collect()) == [1, 2, 3, 4]
+        got = J.match_boxes(df, pred, "image", "box", "cls", ["n"], 0.2, few=few).collect()
+        assert sorted((r["image"], r["at"], r["outcome"]) for r in got) == matched(rows, other, 0.2)
+        got = J.match_boxes(odd, odd, "image", "box", "cls", ["n"], 0.2, few=few).collect()
+        assert sorted((str(r["image"]), r["at"], r["outcome"]) for r in got) == [("5000", 1, "false_positive"), ("5000", 1, "missed"), ("5000", 2, "hit"), ("None", 1, "missed"), ("None", 2, "missed")]
+
+
+def test_images_of_few_boxes_are_shuffled_once(spark):
+    df = spark.createDataFrame(drawn(1, 160, 150, 20), BOXES)
+    plan = W.nms(df, "image", "box", "conf", ["n"], 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
