@@ -410,6 +410,21 @@ def test_score_gives_every_subword_through_attention(spark, monkeypatch):
         assert out[i]["score"] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
+def test_counts_outside_the_table_and_late_in_words_have_their_say(spark, monkeypatch):
+    import public_tokenizers
+
+    draw, source = np.random.default_rng(8), dict(ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, rounds=0)
+    some = ["straightforward", "straightforwardly", "uninteresting", "the", "zzqx" * 30, "zzqx" * 29 + "yy", "qj" * 400, "antidisestablishmentarianism"]
+    rows = [(i, " ".join(some[k] for k in draw.integers(0, len(some), 5 + i)), "s") for i in range(30)] + [(100, None, "s"), (101, "neverseen straightforwardest " + "zzqx" * 31, "s")]
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.score_texts(docs(spark, rows), **source).collect()}
+    full = score()
+    for size in (0, 3, 20):
+        monkeypatch.setattr(lm, "FOLLOWED", size)
+        assert score() == pytest.approx(full, rel=1e-9, abs=1e-6)
+    # a word of many subwords that was seen often costs little more than a short one: every step inside it is known
+    assert full[29] > -12 * len(rows[29][1].split())
+
+
 def test_runs_of_megabytes_take_little_memory(monkeypatch):
     import tracemalloc
 
